@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohort.contracts import guard, must_fail
-from cohort.functions.expressions import divide, is_finite, status_rank
+from cohort.functions.expressions import divide, is_finite, product, status_rank
 from cohort.operators import hierarchy, mortality
 from cohort.params import MAX_AGE, NATIONALITIES, SEXES, Params
 
@@ -71,6 +72,74 @@ def eligible(age: Column, params: Params) -> Column:
     return (age >= params.interval) & (age < params.terminal_age)
 
 
+@dataclass(frozen=True)
+class WindowColumns:
+    """Window settings read from each row instead of one :class:`Params`."""
+
+    min_expected: float = 20.0
+
+    @property
+    def interval(self) -> Column:
+        return F.col("interval")
+
+    @property
+    def terminal_age(self) -> Column:
+        return F.col("terminal_age")
+
+
+def windows_table(spark: SparkSession, windows: Sequence[tuple[str, int, int, int]]) -> DataFrame:
+    """``(window_id, start_year, end_year, terminal_age, interval)``: a few driver-made rows."""
+    rows = [(w, y0, y1, terminal, y1 - y0) for w, y0, y1, terminal in windows]
+    return spark.createDataFrame(rows, "window_id string, start_year int, end_year int, terminal_age int, interval int")
+
+
+def intermediate_windows(params: Params, base_terminal: int = 90) -> list[tuple[str, int, int, int]]:
+    """The fixed start cohort followed to every later year; the terminal age moves along."""
+    y0 = params.start_year
+    return [(f"{y0}-{y}", y0, y, base_terminal + y - y0) for y in range(y0 + 1, params.end_year + 1)]
+
+
+def window_detail(
+    snapshots: DataFrame, qx: DataFrame, closure: DataFrame, windows: Sequence[tuple[str, int, int, int]]
+) -> DataFrame:
+    """:func:`cohort_detail` for many windows of one dated population table in one job.
+
+    The window list is driver-made, so it and the survival table (262 rows per window) are broadcast.
+    """
+    w = F.broadcast(windows_table(snapshots.sparkSession, windows))
+    settings = ["window_id", "interval", "terminal_age"]
+    start = snapshots.join(w, F.col("year") == F.col("start_year")).select(*settings, *CELL, "population")
+    end = snapshots.join(w, F.col("year") == F.col("end_year")).select(*settings, *CELL, "population")
+    years = F.broadcast(windows_table(snapshots.sparkSession, windows).select(
+        "window_id", "interval", "start_year", F.explode(F.sequence("start_year", F.col("end_year") - 1)).alias("year")))
+    step = F.col("year") - F.col("start_year")
+    chains = (
+        qx.join(years, "year").filter(F.col("age") >= step)
+        .groupBy("window_id", "interval", (F.col("age") - step).cast("int").alias("age"), "sex")
+        .agg(F.array_sort(F.collect_list(F.struct(step.alias("step"), "qx"))).alias("chain"))
+        .filter(F.size("chain") == F.col("interval"))
+        .select("window_id", "age", "sex", product(F.transform("chain", lambda c: 1.0 - c["qx"])).alias("survival"))
+    )
+    params = WindowColumns()
+    joined = guarded(start).join(F.broadcast(chains), ["window_id", "age", "sex"], "left")
+    needed = (F.col("age") + params.interval < params.terminal_age) & (F.col("population") != 0)
+    chance = F.coalesce(F.col("survival"), must_fail("missing mortality probability"))
+    aged = joined.select(
+        *settings, "geography_id", (F.col("age") + params.interval).cast("int").alias("age"), "sex", "nationality",
+        F.col("population").cast("double").alias("baseline"),
+        F.when(needed, F.col("population") * chance).otherwise(0.0).alias("expected"),
+    )
+    keys = [*settings, "age", "sex", "nationality"]
+    summed = hierarchy.roll_up(combine(aged, end, settings), closure, keys, MEASURES)
+    return _finish(summed, ["area_id", *keys], params)
+
+
+def window_totals(detail: DataFrame) -> DataFrame:
+    """Area totals and residual per window of :func:`window_detail`."""
+    totals = area_totals(detail, WindowColumns(), ["window_id", "interval", "terminal_age"])
+    return totals.withColumn("residual", F.col("actual") - F.col("expected"))
+
+
 def _finish(summed: DataFrame, keys: Sequence[str], params: Params) -> DataFrame:
     ok = eligible(F.col("age"), params)
     return summed.select(

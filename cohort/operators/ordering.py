@@ -22,7 +22,8 @@ def row_numbers(
     keyed = df.withColumn("_key", key)
     sample = keyed.select("_key", F.xxhash64("_key").alias("_h")).orderBy("_h").limit(buckets - 1)
     cuts = sample.agg(F.array_sort(F.collect_list("_key")).alias("cuts"))
-    sliced = keyed.withColumn("_slice", F.size(F.filter(cuts.scalar(), lambda c: c <= F.col("_key"))))
+    with_cuts = keyed.withColumn("_cuts", cuts.scalar())
+    sliced = with_cuts.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col("_key")))).drop("_cuts")
     counts = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))

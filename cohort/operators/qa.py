@@ -40,12 +40,14 @@ def invariants(detail: DataFrame, index: DataFrame) -> DataFrame:
     fields = index.select("area_id", "observed_change", "modelled_deaths", *TREE)
     joined = fields.join(sums, "area_id", "left").join(children, "area_id", "left")
     joined = joined.fillna(0.0, [f"d_{f}" for f in SUMS]).fillna(True, ["bounded"])
-    checks = joined.select("area_id", F.inline(F.array(
-        F.struct(F.lit("sex-nationality-sums").alias("check_name"), _all("d_", "", SUMS).alias("passed")),
-        F.struct(F.lit("survival-bounds"), F.col("bounded")),
-        F.struct(F.lit("stock-accounting"), is_close(F.col("residual"), F.col("observed_change") + F.col("modelled_deaths"))),
-        F.struct(F.lit("hierarchy"), F.when(F.col("c_baseline").isNotNull(), _all("c_", "", TREE))),
-    )))
+    results = {
+        "sex-nationality-sums": _all("d_", "", SUMS),
+        "survival-bounds": F.col("bounded"),
+        "stock-accounting": is_close(F.col("residual"), F.col("observed_change") + F.col("modelled_deaths")),
+        "hierarchy": F.when(F.col("c_baseline").isNotNull(), _all("c_", "", TREE)),
+    }
+    each = F.array(*[F.struct(F.lit(n).alias("check_name"), c.alias("passed")) for n, c in results.items()])
+    checks = joined.select("area_id", F.inline(each))
     return checks.filter("passed is not null")
 
 

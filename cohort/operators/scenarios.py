@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohort.contracts import guard, must_fail, required
 from cohort.functions.expressions import divide
-from cohort.operators import mortality
+from cohort.operators import hierarchy, model, mortality
 from cohort.params import Params
 
 # Fixed value: share of boys among births.
@@ -169,3 +169,38 @@ def tier(geographies: DataFrame, statuses: Sequence[str] = ("unchanged", "exact_
     joined = kept.join(parents, "parent_id", "left")
     orphan = F.col("parent_id").isNotNull() & F.col("_known").isNull()
     return guard(joined, {"parent outside the tier": orphan}).select(*geographies.columns)
+
+
+def variant_totals(
+    start: DataFrame, end: DataFrame, chains: DataFrame, closure: DataFrame, params: Params, names: Sequence[str]
+) -> DataFrame:
+    """Area totals of every named variant: (scenario, area_id, baseline, expected, actual, residual).
+
+    Actual and baseline do not depend on the schedule, so only ``expected`` is spread over the
+    variants; both population tables are still read once. ``chains`` is a survival table per
+    scenario, at most 262 rows each.
+    """
+    per_cell = chains.groupBy("age", "sex").agg(F.map_from_entries(F.collect_list(F.struct("scenario", "survival"))).alias("_s"))
+    joined = model.guarded(start).join(F.broadcast(per_cell), ["age", "sex"], "left")
+    needed = (F.col("age") + params.interval < params.terminal_age) & (F.col("population") != 0)
+    zero = F.lit(0.0)
+
+    def value(name: str) -> Column:
+        chance = required(F.try_element_at("_s", F.lit(name)), f"missing mortality probability in {name}")
+        return F.when(needed, F.col("population") * chance).otherwise(0.0)
+
+    aged = model.shift(joined.select(
+        "geography_id", "age", F.col("population").cast("double").alias("baseline"), zero.alias("actual"),
+        *[value(n).alias(f"_e{i}") for i, n in enumerate(names)]), params.interval)
+    seen = model.guarded(end).select(
+        "geography_id", "age", zero.alias("baseline"), F.col("population").cast("double").alias("actual"),
+        *[zero.alias(f"_e{i}") for i in range(len(names))])
+    modelled = aged.unionByName(seen).withColumn("_on", model.eligible(F.col("age"), params))
+    measures = ["baseline", "actual", *[f"_e{i}" for i in range(len(names))]]
+    kept = modelled.select("geography_id", *[F.when(F.col("_on"), F.col(m)).otherwise(zero).alias(m) for m in measures])
+    # Ages and sexes are summed before the roll-up: one row per leaf climbs the tree.
+    leaves = kept.groupBy("geography_id").agg(*[F.sum(m).alias(m) for m in measures])
+    areas = hierarchy.roll_up(leaves, closure, [], measures)
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(f"_e{i}").alias("expected")) for i, n in enumerate(names)]))
+    out = areas.select("area_id", "baseline", "actual", each)
+    return out.select("scenario", "area_id", "baseline", "expected", "actual", (F.col("actual") - F.col("expected")).alias("residual"))

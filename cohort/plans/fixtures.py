@@ -121,6 +121,47 @@ from fx_nqx
     "fx_annual": """
 select cast(year(l_shipdate) as int) as y, count(*) as total, count(distinct l_suppkey) as section_count
 from lineitem group by year(l_shipdate)
+""",
+    # Dated snapshots: one per ship year, twenty years on.
+    "fx_snapshots": """
+select cast(year(l_shipdate) + 20 as int) as year, 'S' || cast(l_suppkey as string) as geography_id, cast(l_partkey % 111 as int) as age,
+       case when l_linestatus = 'F' then 'female' else 'male' end as sex,
+       case when l_returnflag = 'R' then 'EXT' else 'ESP' end as nationality,
+       cast(sum(l_quantity) as bigint) as population
+from lineitem group by year(l_shipdate), l_suppkey, l_partkey % 111, l_linestatus, case when l_returnflag = 'R' then 'EXT' else 'ESP' end
+""",
+    "fx_annual_cells": """
+select year, least(age, 100) as age, sex, nationality, cast(sum(population) as bigint) as population
+from fx_snapshots group by year, least(age, 100), sex, nationality
+""",
+    # Annual controls; the 2018 file misses one person at age 33.
+    "fx_annual_controls": """
+select year, age, sex, nationality, population + (case when year = 2018 and age = 33 then 1 else 0 end) as population
+from fx_annual_cells where age < 100
+""",
+    "fx_annual_totals": """
+select year, sex, nationality, cast(sum(population) + (case when year = 2018 then 1 else 0 end) as bigint) as population
+from fx_annual_cells group by year, sex, nationality
+""",
+    # Text input as a file would give it, with broken cells of every kind.
+    "fx_raw_population": """
+select 'S' || cast(l_suppkey as string) as geography_id,
+       case when l_orderkey % 97 = 0 then 'n/a' when l_orderkey % 101 = 0 then '131' else cast(l_partkey % 111 as string) end as age,
+       case when l_orderkey % 89 = 0 then 'F' when l_linestatus = 'F' then 'female' else 'male' end as sex,
+       case when l_returnflag = 'R' then 'EXT' else 'ESP' end as nationality,
+       case when l_orderkey % 83 = 0 then '-' || cast(cast(l_quantity as int) as string) else cast(cast(l_quantity as int) as string) end as population
+from lineitem
+""",
+    "fx_raw_mortality": """
+select cast(year as string) as year, cast(age as string) as age, sex,
+       case when age % 40 = 7 then '1.5' when age % 40 = 9 then 'x' else '0.25' end as qx
+from fx_observed
+""",
+    "fx_raw_geographies": """
+select area_id, name, level, case when level = 'section' and name like '%9' then 'N99' else coalesce(parent_id, '') end as parent_id,
+       case when name like '%8' then 'doubtful' else boundary_status end as boundary_status
+from fx_geographies
+union all select 'S' || cast(s_suppkey as string), 'Twin', 'parish', 'ALL', 'unchanged' from supplier where s_acctbal < 0
 """,
     "fx_wide_cells": """
 select cast(s_nationkey % 21 + 1 as int) as district,
