@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohort.contracts import guard
 from cohort.functions.expressions import divide, status_rank
 from cohort.operators import ordering
+from cohort.operators.staging import stage
 from cohort.params import NATIONALITIES, Params
 
 
@@ -95,8 +96,10 @@ def five_year(profile: DataFrame, index: DataFrame, params: Params, width: int =
 def rank(table: DataFrame, buckets: int = 64) -> DataFrame:
     """Rank within (level, preset) by rate, highest first, among exact areas with a rate.
 
-    Ties follow name, then area id. Others keep a NULL rank.
+    Ties follow name, then area id. Others keep a NULL rank. The table is written first because
+    numbering reads it several times.
     """
+    table = stage(table)
     ranked = F.col("residual_per_1000").isNotNull() & (status_rank(F.col("boundary_status")) <= 1)
     numbered = ordering.row_numbers(
         table.filter(ranked), ["level", "preset"], [-F.col("residual_per_1000"), F.col("name"), F.col("area_id")],

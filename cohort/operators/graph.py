@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointing(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a local session without one gets a scratch folder."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    context.setCheckpointDir(folder)
+from cohort.operators.staging import stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,16 +28,14 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> Data
 
     Each round is a few hash aggregations and joins. Minimums are combined before the shuffle,
     and the join that follows meets one row per node, which adaptive execution splits when a hub
-    owns much of the edge list. Rounds end when the edge set repeats; each is checkpointed, so
+    owns much of the edge list. Rounds end when the edge set repeats; each is written out, so
     lost executors re-read files and not the whole history.
     """
-    spark = nodes.sparkSession
-    checkpointing(spark)
     current = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).filter("src <> dst")
-    current = current.distinct().checkpoint()
+    current = stage(current.distinct())
     mark = _fingerprint(current)
     for _ in range(max_rounds):
-        following = _small_star(_large_star(current)).checkpoint()
+        following = stage(_small_star(_large_star(current)))
         seen = _fingerprint(following)
         current = following
         if seen == mark:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohort.contracts import violations
 from cohort.operators import bands, controls, hierarchy, model, mortality, profiling, qa, scenarios
+from cohort.operators.staging import stage
 from cohort.params import Params
 from cohort.plans.fixtures import Fixtures
 from cohort.plans.registry import query, rounded, shared
@@ -33,6 +34,12 @@ def profile(f: Fixtures, params: Params = P) -> DataFrame:
     return model.profile(detail(f, params), params)
 
 
+def results(f: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(detail, profile, index)`` over one written detail table, for queries that need several."""
+    d = stage(detail(f))
+    return d, model.profile(d, P), model.area_index(f.population_start, f.population_end, d, f.geographies, closure(f), P)
+
+
 def composition(f: Fixtures) -> DataFrame:
     return model.composition(f.population_start, f.population_end, closure(f), P)
 
@@ -404,7 +411,8 @@ from (select i.area_id, p.preset, i.level, i.name, i.boundary_status, i.affected
 
 
 def indicators(f: Fixtures) -> DataFrame:
-    return bands.indicators(profile(f), index(f), P)
+    _, prof, idx = results(f)
+    return bands.indicators(prof, idx, P)
 
 
 @query("bnd1_band_summary", f"select area_id, preset, {BAND_OUT.format(m=20)} from (select *, e > 0 and e = n as ok from x_preset_sums)")
@@ -424,7 +432,8 @@ select area_id, age_min, age_max, nationality, {BAND_OUT.format(m=20)} from (
   left join (select area_id, (age // 5) * 5 as band, nationality, {BAND} from x_profile where age <= 99 group by all) s
     on s.area_id = i.area_id and s.band = r.b and s.nationality = n.nationality)""")
 def _(f):
-    return rounded(bands.five_year(profile(f), index(f), P))
+    _, prof, idx = results(f)
+    return rounded(bands.five_year(prof, idx, P))
 
 
 @query("bnd5_rank", """
@@ -439,7 +448,8 @@ select area_id, actual, expected, residual, residual_per_1000 from (select area_
   select i.area_id, s.observed, s.exp, s.base, coalesce(s.e > 0 and s.e = s.n, false) as ok from x_index i
   left join (select area_id, {BAND} from x_profile where age between 23 and 61 group by all) s on s.area_id = i.area_id))""")
 def _(f):
-    return rounded(bands.custom_range(profile(f), index(f), 23, 61, P))
+    _, prof, idx = results(f)
+    return rounded(bands.custom_range(prof, idx, 23, 61, P))
 
 
 @query("bnd7_variable_bands", f"""
@@ -633,13 +643,15 @@ with kids as (select parent_id as area_id from fx_geographies where parent_id is
 select area_id, check_name, true as passed from fx_geographies cross join (values ('sex-nationality-sums'), ('survival-bounds'), ('stock-accounting')) c(check_name)
 union all select area_id, 'hierarchy', true from kids""")
 def _(f):
-    return qa.invariants(detail(f), index(f))
+    d, _, idx = results(f)
+    return qa.invariants(d, idx)
 
 
 @query("qa1_summary", """
 select true as passed, (3 * (select count(*) from fx_geographies) + (select count(distinct parent_id) from fx_geographies)) as checks, 0::bigint as failed""")
 def _(f):
-    return qa.summary(qa.invariants(detail(f), index(f)))
+    d, _, idx = results(f)
+    return qa.summary(qa.invariants(d, idx))
 
 
 @query("qa6_independent", """
