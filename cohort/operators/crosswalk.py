@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohort.contracts import guard, must_fail
 from cohort.functions.expressions import divide, is_finite
 from cohort.operators import graph, polygons
+from cohort.operators.staging import stage
 from cohort.params import Params
 
 EXACT = ("unchanged", "exact_harmonisation")
@@ -27,7 +28,7 @@ def memberships(overlaps: DataFrame, old_areas: DataFrame, new_areas: DataFrame,
         return df.select(F.lit(vintage).alias("vintage"), "id", "area", _node(vintage, "id").alias("node"))
 
     nodes = side(old_areas, "old").unionByName(side(new_areas, "new"))
-    return nodes.join(graph.components(linked, nodes), "node").drop("node")
+    return stage(nodes.join(graph.components(linked, nodes), "node").drop("node"))
 
 
 def _internal(overlaps: DataFrame, members: DataFrame) -> DataFrame:
@@ -99,7 +100,8 @@ def crosswalk(zones_: DataFrame) -> DataFrame:
 
 def overlay(old: DataFrame, new: DataFrame, params: Params, reviews: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(zones, overlaps)`` of two vertex tables."""
-    met = polygons.overlaps(old, new)
+    old, new = polygons.prepared(old), polygons.prepared(new)
+    met = stage(polygons.overlaps(old, new))
     material = F.col("area") > params.material_overlap * F.least("area_a", "area_b")
     members = memberships(met, polygons.areas(old), polygons.areas(new), material)
     return zones(met, members, params, reviews), met
@@ -107,7 +109,8 @@ def overlay(old: DataFrame, new: DataFrame, params: Params, reviews: DataFrame |
 
 def provisional(old: DataFrame, new: DataFrame, tolerance: float = 1e-3, least: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The candidate classifier: ``(components, overlaps, members)`` under its own thresholds."""
-    met = polygons.overlaps(old, new)
+    old, new = polygons.prepared(old), polygons.prepared(new)
+    met = stage(polygons.overlaps(old, new))
     limit = F.greatest(F.lit(least), tolerance * F.least("area_a", "area_b"))
     members = memberships(met, polygons.areas(old), polygons.areas(new), F.col("area") > limit)
     c = _sides(members).join(_internal(met, members), "component", "left").fillna(0.0, ["shared"])
@@ -194,6 +197,7 @@ def capacity_weights(sources: DataFrame, targets: DataFrame, pairs: DataFrame, b
     building. Targets must lie inside their source and cover it; otherwise the job fails, since
     a building would then need a three-way clip.
     """
+    sources, targets, buildings = (polygons.prepared(x) for x in (sources, targets, buildings))
     met = polygons.intersections(sources, targets)
     area = polygons.areas(targets).toDF("target_id", "target_area")
     t = pairs.join(met.toDF("source_id", "target_id", "clip"), ["source_id", "target_id"]).join(area, "target_id")
@@ -205,7 +209,7 @@ def capacity_weights(sources: DataFrame, targets: DataFrame, pairs: DataFrame, b
     size = polygons.areas(buildings).toDF("id", "building_area")
     share = F.col("capacity") * F.col("part_area") / F.col("building_area")
     value = evidence.join(inside, "id").join(size, "id").groupBy("target_id").agg(F.sum(share).alias("value"))
-    t = t.join(value, "target_id", "left").fillna(0.0, ["value"])
+    t = stage(t.join(value, "target_id", "left").fillna(0.0, ["value"]))
     sums = t.groupBy("source_id").agg(
         F.sum("value").alias("total"), F.sum("clip").alias("covered"),
         F.max(F.abs(F.col("clip") / F.col("target_area") - 1)).alias("sticks_out"),

@@ -87,6 +87,7 @@ def containment(
 
     Only declared pairs are measured. Parents of one layer must not overlap each other.
     """
+    sections, layer = polygons.prepared(sections), polygons.prepared(layer)
     pairs = declared.select("section_id", "parent_id").distinct()
     known = layer.select(F.col("id").alias("parent_id"), F.lit(1).alias("_k")).distinct()
     found = polygons.candidates(sections, layer).join(
@@ -124,6 +125,7 @@ def assign(zones: DataFrame, old: DataFrame, new: DataFrame, tolerance: float =
 
     ``zones`` is a vertex table. :func:`assigned` turns it into a checked assignment.
     """
+    zones, old, new = (polygons.prepared(x) for x in (zones, old, new))
     a0, a1 = polygons.areas(old).toDF("parent", "old_area"), polygons.areas(new).toDF("parent", "new_area")
     met = polygons.intersections(old, new).filter("a = b").select(F.col("a").alias("parent"), F.col("area").alias("shared"))
     symmetric = divide(F.col("old_area") + F.col("new_area") - 2 * F.col("shared"), F.greatest("old_area", "new_area"))

@@ -18,6 +18,7 @@ from cohort.contracts import guard
 from cohort.functions.expressions import divide
 from cohort.operators.ordering import running_sum
 from cohort.operators.spatial import overlap_join
+from cohort.operators.staging import stage
 
 RING = ("id", "part", "ring")
 
@@ -26,30 +27,45 @@ def with_part(vertices: DataFrame) -> DataFrame:
     return vertices if "part" in vertices.columns else vertices.withColumn("part", F.lit(0))
 
 
-def edges(vertices: DataFrame) -> DataFrame:
-    """``id, part, ring, seq, xa, ya, xb, yb``: consecutive vertices of closed rings."""
-    v = with_part(vertices)
+def edges(layer: DataFrame) -> DataFrame:
+    """``id, part, ring, seq, xa, ya, xb, yb``: consecutive vertices of closed rings.
+
+    A table that already has edges passes through, so a layer can be prepared once (:func:`prepared`).
+    """
+    if "xa" in layer.columns:
+        return layer
+    v = with_part(layer)
     tail = v.select(*RING, (F.col("seq") - 1).alias("seq"), F.col("x").alias("xb"), F.col("y").alias("yb"))
     return v.select(*RING, "seq", F.col("x").alias("xa"), F.col("y").alias("ya")).join(tail, [*RING, "seq"])
 
 
-def boxes(vertices: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
-    return vertices.groupBy(*keys).agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")
-    )
+def prepared(layer: DataFrame) -> DataFrame:
+    """The written edge table of a layer, for callers that use the layer several times."""
+    return layer if "xa" in layer.columns else stage(edges(layer))
 
 
-def _moments(vertices: DataFrame) -> DataFrame:
-    """Per ring: doubled signed area and first moments about the layer's own low corner."""
-    v = with_part(vertices)
-    origin = v.groupBy("id").agg(F.min("x").alias("ox"), F.min("y").alias("oy"))
-    e = edges(v).join(origin, "id")
+def boxes(layer: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """Extent of each polygon; rings are closed, so edge starts visit every vertex."""
+    x, y = ("xa", "ya") if "xa" in layer.columns else ("x", "y")
+    return layer.groupBy(*keys).agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
+
+
+def _rings(layer: DataFrame) -> DataFrame:
+    """Doubled signed area per ring."""
+    cross = (F.col("xa") - F.col("xb")) * (F.col("ya") + F.col("yb"))
+    return edges(layer).groupBy(*RING).agg(F.sum(cross).alias("twice"))
+
+
+def _moments(layer: DataFrame) -> DataFrame:
+    """Per ring: doubled area and first moments about the polygon's own low corner."""
+    e = edges(layer)
+    e = e.join(e.groupBy("id").agg(F.min("xa").alias("ox"), F.min("ya").alias("oy")), "id")
     xa, ya = F.col("xa") - F.col("ox"), F.col("ya") - F.col("oy")
     xb, yb = F.col("xb") - F.col("ox"), F.col("yb") - F.col("oy")
     cross = xa * yb - xb * ya
     return e.groupBy(*RING).agg(
         F.sum(cross).alias("twice"), F.sum((xa + xb) * cross).alias("mx"), F.sum((ya + yb) * cross).alias("my"),
-        F.first("ox").alias("ox"), F.first("oy").alias("oy"), F.count(F.lit(1)).alias("edges"),
+        F.first("ox").alias("ox"), F.first("oy").alias("oy"),
     )
 
 
@@ -75,13 +91,12 @@ def measures(vertices: DataFrame) -> DataFrame:
 
 
 def areas(vertices: DataFrame) -> DataFrame:
-    m = _moments(vertices)
-    return m.groupBy("id").agg((F.sum(_weight() * F.col("twice")) / 2).alias("area"))
+    return _rings(vertices).groupBy("id").agg((F.sum(_weight() * F.col("twice")) / 2).alias("area"))
 
 
 def ring_signs(vertices: DataFrame) -> DataFrame:
     """``id, part, ring, sign``: what one unit under a ring's edges adds to the polygon."""
-    return _moments(vertices).select(*RING, (-_weight()).alias("sign"))
+    return _rings(vertices).select(*RING, (-_weight()).alias("sign"))
 
 
 def candidates(left: DataFrame, right: DataFrame, *, unit: float = 1.0) -> DataFrame:
@@ -116,19 +131,25 @@ def _pair_edges(pairs: DataFrame, side: str, layer: DataFrame, unit: float) -> D
     )
 
 
-def _under_both() -> Column:
-    """Area under the lower of two edges on their shared x-range; they cross at most once."""
+def _pieces(met: DataFrame) -> DataFrame:
+    """``piece``: signed area under the lower of two edges on their shared x-range.
+
+    Heights at both ends come first, as columns, so that no expression is repeated; two edges
+    cross at most once.
+    """
     low, high = F.greatest("l_x0", "r_x0"), F.least("l_x1", "r_x1")
-    width = high - low
-    ya = F.col("l_y") + (low - F.col("l_x0")) * F.col("l_slope")
-    yb = F.col("r_y") + (low - F.col("r_x0")) * F.col("r_slope")
-    za, zb = ya + width * F.col("l_slope"), yb + width * F.col("r_slope")
-    gap0, gap1 = ya - yb, za - zb
-    plain = width * (F.least(ya, yb) + F.least(za, zb)) / 2
-    t = gap0 / (gap0 - gap1)
-    y = ya + t * (za - ya)
-    crossed = width * (t * (F.least(ya, yb) + y) + (1 - t) * (y + F.least(za, zb))) / 2
-    return F.when(gap0 * gap1 < 0, crossed).otherwise(plain)
+    d = met.withColumns({"low": low, "width": high - low})
+    d = d.withColumns({
+        "ya": F.col("l_y") + (F.col("low") - F.col("l_x0")) * F.col("l_slope"),
+        "yb": F.col("r_y") + (F.col("low") - F.col("r_x0")) * F.col("r_slope"),
+    })
+    d = d.withColumns({"za": F.col("ya") + F.col("width") * F.col("l_slope"), "zb": F.col("yb") + F.col("width") * F.col("r_slope")})
+    d = d.withColumns({"first": F.least("ya", "yb"), "last": F.least("za", "zb"), "gap": F.col("ya") - F.col("yb"), "end_gap": F.col("za") - F.col("zb")})
+    d = d.withColumn("t", F.when(F.col("gap") * F.col("end_gap") < 0, F.col("gap") / (F.col("gap") - F.col("end_gap"))))
+    d = d.withColumn("y", F.col("ya") + F.col("t") * (F.col("za") - F.col("ya")))
+    crossed = F.col("t") * (F.col("first") + F.col("y")) + (1 - F.col("t")) * (F.col("y") + F.col("last"))
+    mean = F.coalesce(crossed, F.col("first") + F.col("last")) / 2
+    return d.withColumn("piece", F.col("l_turn") * F.col("r_turn") * F.col("width") * mean)
 
 
 def intersections(left: DataFrame, right: DataFrame, pairs: DataFrame | None = None, *, unit: float = 1.0) -> DataFrame:
@@ -139,12 +160,12 @@ def intersections(left: DataFrame, right: DataFrame, pairs: DataFrame | None = N
     an interval join inside each polygon pair, so the work follows the edges that meet and not
     the product of two boundaries. Ring signs are applied after the sums, on one row per ring pair.
     """
-    left, right = with_part(left), with_part(right)
-    found = candidates(left, right, unit=unit) if pairs is None else pairs
+    left, right = prepared(left), prepared(right)
+    found = stage(candidates(left, right, unit=unit) if pairs is None else pairs)
     ea, eb = _pair_edges(found, "a", left, unit), _pair_edges(found, "b", right, unit)
     met = overlap_join(ea, eb, ["a", "b"], ("x",), unit=unit)
     rings = (
-        met.withColumn("piece", F.col("l_turn") * F.col("r_turn") * _under_both())
+        _pieces(met)
         .groupBy(
             F.col("l_a").alias("a"), F.col("l_b").alias("b"),
             F.col("l_part").alias("part_a"), F.col("l_ring").alias("ring_a"),
@@ -160,6 +181,7 @@ def intersections(left: DataFrame, right: DataFrame, pairs: DataFrame | None = N
 
 def overlaps(old: DataFrame, new: DataFrame, *, unit: float = 1.0) -> DataFrame:
     """Every pair with its area, both polygon areas and the two shares."""
+    old, new = prepared(old), prepared(new)
     a = areas(old).select(F.col("id").alias("a"), F.col("area").alias("area_a"))
     b = areas(new).select(F.col("id").alias("b"), F.col("area").alias("area_b"))
     joined = intersections(old, new, unit=unit).join(a, "a").join(b, "b")
@@ -171,6 +193,7 @@ def overlaps(old: DataFrame, new: DataFrame, *, unit: float = 1.0) -> DataFrame:
 
 def self_overlaps(layer: DataFrame, tolerance: float = 1e-3, *, unit: float = 1.0) -> DataFrame:
     """Pairs of one layer that overlap by more than the tolerated share of the smaller polygon."""
+    layer = prepared(layer)
     pairs = candidates(layer, layer, unit=unit).filter("a < b")
     size = areas(layer)
     met = intersections(layer, layer, pairs, unit=unit)
@@ -184,6 +207,7 @@ def topology(layer: DataFrame, municipality: DataFrame, *, unit: float = 1.0) ->
 
     The union is the sum of the areas, which holds once :func:`self_overlaps` is empty.
     """
+    layer, municipality = prepared(layer), prepared(municipality)
     total = areas(layer).agg(F.sum("area").alias("union_area"), F.count(F.lit(1)).alias("polygons"))
     inside = intersections(layer, municipality, unit=unit).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("inside"))
     outer = areas(municipality).agg(F.sum("area").alias("outer"))
@@ -202,7 +226,7 @@ def validity(vertices: DataFrame, *, unit: float = 1.0) -> DataFrame:
         F.count(F.lit(1)).alias("vertices"),
     )
     open_rings = ends.groupBy("id").agg(F.count_if((F.col("first") != F.col("last")) | (F.col("vertices") < 4)).alias("open_rings"))
-    flat = _moments(v).groupBy("id").agg(F.count_if(F.col("twice") == 0).alias("flat_rings"))
+    flat = _rings(v).groupBy("id").agg(F.count_if(F.col("twice") == 0).alias("flat_rings"))
     e = edges(v).withColumns({
         "x0": F.least("xa", "xb"), "x1": F.greatest("xa", "xb"), "y0": F.least("ya", "yb"), "y1": F.greatest("ya", "yb"),
     })

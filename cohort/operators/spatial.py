@@ -24,14 +24,18 @@ def _level(axes: Sequence[str], unit: float) -> Column:
     return F.least(F.greatest(raw, F.lit(0)), F.lit(TOP)).cast("int")
 
 
-def _register(df: DataFrame, axes: Sequence[str], unit: float, levels: Column) -> DataFrame:
-    out = df.withColumn("_level", F.explode(levels)).withColumn("_side", F.pow(F.lit(STEP), F.col("_level")) * unit)
+def _register(df: DataFrame, axes: Sequence[str], unit: float, entries: Column) -> DataFrame:
+    out = df.withColumn("_entry", F.explode(entries)).withColumn("_side", F.pow(F.lit(STEP), F.col("_entry.level")) * unit)
     for a in axes:
         low, high = F.floor(F.col(f"{a}0") / F.col("_side")), F.floor(F.col(f"{a}1") / F.col("_side"))
         out = out.withColumn(f"_cell_{a}", F.explode(F.sequence(low, high)))
     return out
 
 
+def _entries(role: str, levels: Column) -> Column:
+    return F.transform(levels, lambda n: F.struct(F.lit(role).alias("role"), n.alias("level")))
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], axes: Sequence[str] = ("x", "y"), *, unit: float = 1.0
 ) -> DataFrame:
@@ -40,21 +44,22 @@ def overlap_join(
     Both sides carry ``{axis}0`` and ``{axis}1``; all columns come back prefixed ``l_`` and
     ``r_``. A pair met in several cells is kept in the one holding the low corner of its overlap.
     """
-    own, up = F.array("_own"), F.sequence(F.col("_own"), F.lit(TOP))
-    above = F.when(F.col("_own") < TOP, F.sequence(F.col("_own") + 1, F.lit(TOP))).otherwise(F.array().cast("array<int>"))
-    a = left.withColumn("_own", _level(axes, unit))
-    b = right.withColumn("_own", _level(axes, unit))
-    # Partners at the left item's level or coarser, then left items coarser than the right one.
-    plans = [(_register(a, axes, unit, up), _register(b, axes, unit, own)), (_register(a, axes, unit, own), _register(b, axes, unit, above))]
-    shared = [*keys, "_level", *[f"_cell_{x}" for x in axes]]
-    found = None
-    for one, other in plans:
-        lhs = one.select(*shared, "_side", *[F.col(c).alias(f"l_{c}") for c in left.columns])
-        rhs = other.select(*shared, *[F.col(c).alias(f"r_{c}") for c in right.columns])
-        met = lhs.join(rhs, shared)
-        for x in axes:
-            low = F.greatest(f"l_{x}0", f"r_{x}0")
-            met = met.filter((low <= F.least(f"l_{x}1", f"r_{x}1")) & (F.floor(low / F.col("_side")) == F.col(f"_cell_{x}")))
-        met = met.select(*[f"l_{c}" for c in left.columns], *[f"r_{c}" for c in right.columns])
-        found = met if found is None else found.unionByName(met)
-    return found
+    own = F.col("_own")
+    up = F.sequence(own, F.lit(TOP))
+    above = F.slice(up, F.lit(2), F.lit(TOP))
+    # "down": the partner on the right is as coarse or coarser; "up": the left item is coarser.
+    sides = (
+        (left, "l_", F.concat(_entries("down", up), _entries("up", F.array(own)))),
+        (right, "r_", F.concat(_entries("down", F.array(own)), _entries("up", above))),
+    )
+    shared = [*keys, "_entry", *[f"_cell_{x}" for x in axes]]
+    lhs, rhs = (
+        _register(df.withColumn("_own", _level(axes, unit)), axes, unit, entries).select(
+            *shared, *(["_side"] if prefix == "l_" else []), *[F.col(c).alias(prefix + c) for c in df.columns])
+        for df, prefix, entries in sides
+    )
+    met = lhs.join(rhs, shared)
+    for x in axes:
+        low = F.greatest(f"l_{x}0", f"r_{x}0")
+        met = met.filter((low <= F.least(f"l_{x}1", f"r_{x}1")) & (F.floor(low / F.col("_side")) == F.col(f"_cell_{x}")))
+    return met.select(*[f"l_{c}" for c in left.columns], *[f"r_{c}" for c in right.columns])

@@ -562,15 +562,15 @@ def _(f):
 def members(f: Fixtures, level: str) -> DataFrame:
     """Parents named by each old section's two memberships: current and one later reading."""
     return f.sql("""
-select section_id as zone_id, vintage, district, barrio from fx_membership where vintage = 'old' and barrio <> '0000'
-union all select case when section_id like 'X%' then 'S' || substr(section_id, 2) else section_id end, vintage, district, barrio from fx_membership
-where vintage = 'new' and section_id not like 'M%' and section_id not like '%a' and section_id not like '%b'""").select("zone_id", "vintage", F.col(level).alias("code"))
+select case when section_id like 'X%' then 'S' || substr(section_id, 2) else section_id end as zone_id, vintage, 'R' || cast(n_regionkey as string) as district, barrio
+from fx_membership join nation on 'N' || cast(n_nationkey as string) = barrio
+where section_id not like 'M%' and section_id not like '%a' and section_id not like '%b'""").select("zone_id", "vintage", F.col(level).alias("code"))
 
 
 shared("x_named", """
-select section_id as zone_id, vintage, district, barrio from fx_membership where vintage = 'old' and barrio <> '0000'
-union all select case when section_id like 'X%' then 'S' || substr(section_id, 2) else section_id end, vintage, district, barrio from fx_membership
-where vintage = 'new' and section_id not like 'M%' and section_id not like '%a' and section_id not like '%b'""")
+select case when section_id like 'X%' then 'S' || substr(section_id, 2) else section_id end as zone_id, vintage, 'R' || cast(n_regionkey as string) as district, barrio
+from fx_membership join nation on 'N' || cast(n_nationkey as string) = barrio
+where section_id not like 'M%' and section_id not like '%a' and section_id not like '%b'""")
 
 
 def _pool_sql(level: str, prefix: str, want: str) -> str:
@@ -673,8 +673,8 @@ from x_raw_parents r full join (select endpoint, section_id, list_sort(list(dist
 
 def compared(f: Fixtures, s: DataFrame) -> DataFrame:
     dates = F.when(F.col("vintage") == "old", F.array(F.lit("2015-01-01"), F.lit("2018-06-01"))).otherwise(F.array(F.lit("2025-01-01")))
-    raw = f.membership.select(F.explode(dates).cast("date").alias("endpoint"), "section_id", "barrio")
-    return registry.compare(s, raw)
+    raw = f.membership.select(F.explode(dates).alias("endpoint"), "section_id", "barrio")
+    return registry.compare(s, raw.withColumn("endpoint", F.col("endpoint").cast("date")))
 
 
 @query("reg3_comparison", """
