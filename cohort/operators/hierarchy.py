@@ -15,20 +15,24 @@ from cohort.params import LEVELS
 def closure(geographies: DataFrame, max_depth: int = len(LEVELS) - 1) -> DataFrame:
     """``(area_id, ancestor_id, depth)`` for every area and each ancestor, itself included.
 
-    Paths grow from the roots down, so each join meets a parent once per child and never piles
-    the whole table on the root key. An area no path reaches (unknown parent, cycle, or a tree
-    deeper than ``max_depth``) fails the job.
+    Paths are built among the areas that are parents, a small part of the table, and every area
+    then takes its parent's path in one join whose keys repeat only by direct children. An
+    unknown parent, a cycle, or a tree deeper than ``max_depth`` fails the job.
     """
     nodes = geographies.select("area_id", "parent_id")
-    frontier = nodes.filter("parent_id is null").select("area_id", F.array("area_id").alias("path"))
-    reached = frontier
-    for _ in range(max_depth):
-        up = frontier.select(F.col("area_id").alias("parent_id"), F.col("path").alias("above"))
-        frontier = nodes.join(up, "parent_id").select("area_id", F.concat(F.array("area_id"), "above").alias("path"))
-        reached = reached.unionByName(frontier)
-    paths = nodes.select("area_id").join(reached, "area_id", "left")
-    whole = F.coalesce(F.col("path"), must_fail("area without a path to a root: unknown parent or cycle"))
-    return paths.select("area_id", F.posexplode(whole).alias("depth", "ancestor_id"))
+    named = nodes.select(F.col("parent_id").alias("area_id")).filter("area_id is not null").distinct()
+    inner = nodes.join(named, "area_id", "left_semi")
+    step = inner.select(F.col("area_id").alias("_next"), F.col("parent_id").alias("_after"), F.lit(True).alias("_met"))
+    path = inner.select("area_id", F.array("area_id").alias("path"), F.col("parent_id").alias("_next"))
+    for _ in range(max_depth - 1):
+        known = F.when(F.col("_met"), F.concat("path", F.array("_next"))).otherwise(must_fail("unknown parent"))
+        path = path.join(step, "_next", "left").select(
+            "area_id", F.when(F.col("_next").isNull(), F.col("path")).otherwise(known).alias("path"), F.col("_after").alias("_next"))
+    closed = F.when(F.col("_next").isNull(), F.col("path")).otherwise(must_fail("parent cycle, or a tree too deep"))
+    above = path.select(F.col("area_id").alias("parent_id"), closed.alias("above"))
+    whole = F.when(F.col("parent_id").isNull(), F.array("area_id")).otherwise(
+        F.concat(F.array("area_id"), F.coalesce("above", must_fail("unknown parent"))))
+    return nodes.join(above, "parent_id", "left").select("area_id", F.posexplode(whole).alias("depth", "ancestor_id"))
 
 
 def unreachable(geographies: DataFrame, max_depth: int = len(LEVELS) - 1) -> DataFrame:

@@ -35,7 +35,7 @@ select 'S' || cast(l_suppkey as string) as geography_id, cast(l_partkey % 111 as
        case when l_linestatus = 'F' then 'female' else 'male' end as sex,
        case when l_returnflag = 'R' then 'EXT' else 'ESP' end as nationality,
        cast(sum(l_quantity) as bigint) as population
-from lineitem where year(l_shipdate) {when}
+from lineitem where l_shipdate {when}
 group by l_suppkey, l_partkey % 111, l_linestatus, case when l_returnflag = 'R' then 'EXT' else 'ESP' end
 """
 
@@ -55,8 +55,8 @@ union all select 'N' || cast(n_nationkey as string), n_name, 'barrio', 'R' || ca
 union all select 'R' || cast(r_regionkey as string), r_name, 'district', 'ALL', 'unchanged' from region
 union all select 'ALL', 'All', 'city', cast(null as string), 'unchanged' from region where r_regionkey = 0
 """,
-    "fx_population_start": _CELL.format(when="<= 1997"),
-    "fx_population_end": _CELL.format(when=">= 1998"),
+    "fx_population_start": _CELL.format(when="< date '1998-01-01'"),
+    "fx_population_end": _CELL.format(when=">= date '1998-01-01'"),
     "fx_grid": GRID_SPARK,
     "fx_mortality": """
 select year, age, sex,
