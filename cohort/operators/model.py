@@ -114,7 +114,7 @@ def window_detail(
         "window_id", "interval", "start_year", F.explode(F.sequence("start_year", F.col("end_year") - 1)).alias("year")))
     step = F.col("year") - F.col("start_year")
     chains = (
-        qx.join(years, "year").filter(F.col("age") >= step)
+        guard(qx, mortality.schedule_rules()).join(years, "year").filter(F.col("age") >= step)
         .groupBy("window_id", "interval", (F.col("age") - step).cast("int").alias("age"), "sex")
         .agg(F.array_sort(F.collect_list(F.struct(step.alias("step"), "qx"))).alias("chain"))
         .filter(F.size("chain") == F.col("interval"))

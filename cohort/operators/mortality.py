@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohort.contracts import guard, must_fail
 from cohort.functions.expressions import is_finite, product, single_age, spanish_number
-from cohort.params import MAX_AGE
+from cohort.params import MAX_AGE, SEXES
 
 # The labels of the published life tables.
 SEX_LABELS = {"Hombres": "male", "Mujeres": "female"}
@@ -69,11 +69,22 @@ def survival(
     return chains.select(*by, "age", "sex", F.when(whole, product(F.transform("chain", lambda c: 1.0 - c["qx"]))).alias("survival"))
 
 
+def schedule_rules() -> dict[str, Column]:
+    return {
+        "schedule age": F.coalesce(~F.col("age").between(0, MAX_AGE), F.lit(True)),
+        "schedule sex": F.coalesce(~F.col("sex").isin(*SEXES), F.lit(True)),
+    }
+
+
 def _diagonals(rows: DataFrame, start_year: int, end_year: int, by: Sequence[str], columns: Sequence[str] = ("qx",)) -> DataFrame:
-    """``chain``: at most one struct per year, in year order, per age at ``start_year``."""
+    """``chain``: one struct per year, in year order, per age at ``start_year``.
+
+    Ages and sexes outside the domain fail the job, so without ``by`` the result has at most
+    131 × 2 rows, which is what lets callers broadcast tables made from it.
+    """
     offset = F.col("year") - start_year
     return (
-        rows.filter((F.col("year") >= start_year) & (F.col("year") < end_year) & (F.col("age") >= offset))
+        guard(rows, schedule_rules()).filter((F.col("year") >= start_year) & (F.col("year") < end_year) & (F.col("age") >= offset))
         .groupBy(*by, (F.col("age") - offset).cast("int").alias("age"), "sex")
         .agg(F.array_sort(F.collect_list(F.struct(offset.alias("step"), *columns))).alias("chain"))
     )

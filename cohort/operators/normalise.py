@@ -47,11 +47,11 @@ def counts(wide: DataFrame) -> DataFrame:
 def split_excluded(wide: DataFrame, open_label: str = OPEN_LABEL) -> tuple[DataFrame, DataFrame]:
     """``(kept, excluded)``: totals and unknown ages leave with a reason; a strange label fails."""
     label = F.trim("cod_edad_int")
-    usable = is_digits(label) | (label == open_label)
-    known = label.isin(*EXCLUDED_LABELS)
-    reason = F.when(~known, must_fail("unrecognised age label")).when(label.endswith("+"), "terminal_open").otherwise("total_or_unknown")
-    out = wide.filter(F.coalesce(~usable, F.lit(True)))
-    return wide.filter(usable), out.withColumn("reason", reason)
+    usable = F.coalesce(is_digits(label) | (label == open_label), F.lit(False))
+    known = F.coalesce(label.isin(*EXCLUDED_LABELS), F.lit(True))
+    rows = guard(wide, {"unrecognised age label": ~usable & ~known})
+    reason = F.when(label.endswith("+"), "terminal_open").otherwise("total_or_unknown")
+    return rows.filter(usable), rows.filter(~usable).withColumn("reason", reason)
 
 
 def strict_rules() -> dict[str, Column]:

@@ -588,6 +588,17 @@ def _(f):
     return rounded(scenarios.nationality(f.population_start, f.mortality, f.hazards, P))
 
 
+RAW_HAZARDS = "select cast(year as string) as year, cast(age as string) as age, sex, case when age % 50 = 3 then '1.2' when age % 50 = 4 then '?' else cast(events % 2 as string) end as hazard from fx_observed"
+
+
+@query("scn7_scenario_inputs", f"""
+with t as (select *, try_cast(hazard as double) as h from ({RAW_HAZARDS}))
+select 'year' as rule, count(*) filter (try_cast(year as int) is null) as violations from t union all select 'age', count(*) filter (age::int not between 0 and 130) from t
+union all select 'sex', count(*) filter (sex not in ('male', 'female')) from t union all select 'hazard', count(*) filter (h is null or h not between 0 and 1) from t""")
+def _(f):
+    return violations(f.sql(RAW_HAZARDS), tables.hazard_rules())
+
+
 @query("nrm14_exact_tier", """
 select * from fx_geographies where boundary_status in ('unchanged', 'exact_harmonisation')""")
 def _(f):

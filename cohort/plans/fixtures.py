@@ -52,8 +52,8 @@ select 'S' || cast(s_suppkey as string) as area_id, 'Section ' || cast(s_suppkey
             when 2 then 'exact_harmonisation' when 3 then 'exact_harmonisation' else 'unchanged' end as boundary_status
 from supplier
 union all select 'N' || cast(n_nationkey as string), n_name, 'barrio', 'R' || cast(n_regionkey as string), 'unchanged' from nation
-union all select 'R' || cast(r_regionkey as string), r_name, 'district', 'ALL', 'unchanged' from region
-union all select 'ALL', 'All', 'city', cast(null as string), 'unchanged' from region where r_regionkey = 0
+union all select 'R' || cast(r_regionkey as string), r_name, 'district', case when r_regionkey >= 0 then 'ALL' end, 'unchanged' from region
+union all select case when r_regionkey >= 0 then 'ALL' end, 'All', 'city', cast(null as string), 'unchanged' from region where r_regionkey = 0
 """,
     "fx_population_start": _CELL.format(when="< date '1998-01-01'"),
     "fx_population_end": _CELL.format(when=">= date '1998-01-01'"),

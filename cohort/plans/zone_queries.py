@@ -305,16 +305,18 @@ def _(f):
     return members.select(F.concat_ws("|", "vintage", "id").alias("node"), "component")
 
 
-@query("gra1_order_graph", """
-with recursive n as (select distinct 'c' || cast(o_custkey % 400 as string) as a, 'd' || cast(o_orderkey % 700 as string) as b from orders where o_orderkey % 700 <> o_custkey % 700),
-l as (select a, b from n union all select b, a from n),
-lab as (select a as node, a as low, 0 as it from (select a from l group by 1)
-  union all select node, low, it + 1 from (select p.node, least(p.low, min(q.low)) as low, p.it from lab p join l on l.a = p.node join lab q on q.node = l.b group by p.node, p.low, p.it) where it < 8)
-select node, min(low) as component from lab group by 1""")
-def _(f):
-    e = f.sql("select distinct 'c' || cast(o_custkey % 400 as string) as src, 'd' || cast(o_orderkey % 700 as string) as dst from orders where o_orderkey % 700 <> o_custkey % 700")
-    e = stage(e)
-    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+ORDER_GRAPH = "select distinct 'o' || cast(l_orderkey as string) as src, 'p' || cast(l_partkey as string) as dst from lineitem"
+
+
+@query("gra1_order_graph", f"""
+with recursive n as ({ORDER_GRAPH}), l as (select src as a, dst as b from n union all select dst, src from n),
+lab(node, low, it) as (select a, a, 0 from (select a from l group by 1)
+  union all select node, low, it + 1 from (select p.node, least(p.low, min(q.low)) as low, p.it from lab p join l on l.a = p.node join lab q on q.node = l.b group by p.node, p.low, p.it) where it < 16)
+select node, min(low) as component from lab group by 1 union all select 'c' || c_custkey, 'c' || c_custkey from customer""")
+def _(f):
+    e = stage(f.sql(ORDER_GRAPH))
+    alone = f.sql("select 'c' || cast(c_custkey as string) as node from customer")
+    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().unionByName(alone)
     return graph.components(e, nodes)
 
 

@@ -12,7 +12,10 @@ LINK_TOKENS = ("download", "resource", ".zip", ".csv", ".rdf", "historico")
 
 
 def payloads(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``(path, content)`` of every file below a folder, one row per file."""
+    """``(path, content)`` of every file below a folder, one row per file.
+
+    Spark leaves empty files out, so :func:`verify` reports a locked but empty file as failed.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
     return files.select("path", "content")
 

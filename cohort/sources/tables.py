@@ -81,6 +81,32 @@ def parse_mortality(text: DataFrame) -> DataFrame:
         F.col("year").cast("int").alias("year"), F.col("age").cast("int").alias("age"), "sex", F.col("qx").cast("double").alias("qx"))
 
 
+def hazard_rules() -> dict[str, Column]:
+    rules = mortality_rules()
+    del rules["qx"]
+    return {**rules, "hazard": F.coalesce(~F.col("hazard").try_cast("double").between(0, 1), F.lit(True))}
+
+
+def fertility_rules() -> dict[str, Column]:
+    return {
+        "year": F.col("year").try_cast("int").isNull(),
+        "age": F.coalesce(~F.col("age").try_cast("int").between(0, MAX_AGE), F.lit(True)),
+        "asfr_per_1000": F.coalesce(~F.col("asfr_per_1000").try_cast("double").between(0, 1000), F.lit(True)),
+    }
+
+
+def read_hazards(spark: SparkSession, path: str) -> DataFrame:
+    text = guard(read_text_table(spark, path, ("year", "age", "sex", "hazard")), hazard_rules())
+    typed = text.select(F.col("year").cast("int").alias("year"), F.col("age").cast("int").alias("age"), "sex", F.col("hazard").cast("double").alias("hazard"))
+    return unique(typed, ["year", "age", "sex"])
+
+
+def read_fertility(spark: SparkSession, path: str) -> DataFrame:
+    text = guard(read_text_table(spark, path, ("year", "age", "asfr_per_1000")), fertility_rules())
+    typed = text.select(F.col("year").cast("int").alias("year"), F.col("age").cast("int").alias("age"), F.col("asfr_per_1000").cast("double").alias("asfr_per_1000"))
+    return unique(typed, ["year", "age"])
+
+
 def geography_rules() -> dict[str, Column]:
     return {
         "area_id": F.coalesce(F.trim("area_id") == "", F.lit(True)),
