@@ -161,7 +161,7 @@ from fx_observed
 select area_id, name, level, case when level = 'section' and name like '%9' then 'N99' else coalesce(parent_id, '') end as parent_id,
        case when name like '%8' then 'doubtful' else boundary_status end as boundary_status
 from fx_geographies
-union all select 'S' || cast(s_suppkey as string), 'Twin', 'parish', 'ALL', 'unchanged' from supplier where s_acctbal < 0
+union all select 'S' || cast(s_suppkey as string), 'Twin', 'parish', 'N' || cast(s_nationkey as string), 'unchanged' from supplier where s_acctbal < 0
 """,
     "fx_wide_cells": """
 select cast(s_nationkey % 21 + 1 as int) as district,

@@ -231,11 +231,11 @@ def _sheet_counts(rows: DataFrame) -> DataFrame:
 
 
 def sheet_city(cells: DataFrame, label: str) -> DataFrame:
-    """The city row of each sheet with its counts; zero or several rows fail the job."""
+    """The city row of each sheet with its counts; several rows for one sheet fail the job."""
     rows = sheet_rows(cells, SHEET_COLUMNS).filter((F.col("label") == label) & is_digits(F.col("total")))
-    city = _sheet_counts(rows)
-    seen = city.groupBy("sheet").agg(F.count(F.lit(1)).alias("_n"))
-    return guard(city.join(seen, "sheet"), {"several city rows": F.col("_n") != 1}).drop("_n", "label", "code")
+    kept = ["row", *SHEET_COUNTS]
+    city = _sheet_counts(rows).groupBy("sheet").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in kept])
+    return guard(city, {"several city rows": F.col("_n") != 1}).drop("_n")
 
 
 def sheet_sections(cells: DataFrame, prefix: str) -> DataFrame:
