@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import langid, licenses, packing, pii
+from cohort.llm import langid, licenses, line_dedup, packing, pii, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,63 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+OP3_SQL = """
+with lines as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as n
+    from documents
+), keyed as (
+    select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from lines
+), held as (
+    select key, max(doc_id) as keeper
+    from (select distinct doc_id, key from keyed where length(key) >= 40)
+    group by key having count(*) >= 5
+), judged as (
+    select k.*, coalesce(k.doc_id < h.keeper, false) as gone from keyed k left join held h on k.key = h.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by n) filter (where not gone), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+
+@_query("op3_line_dedup", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, folder, "documents"))
+
+
+OP4_SQL = r"""
+with split as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), starts as (
+    select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from split
+), passages as (
+    select doc_id, i, array_to_string(ws[i : i + 49], ' ') as passage from starts
+), firsts as (
+    select passage, min(doc_id) as first from passages group by passage having min(doc_id) < max(doc_id)
+), gone as (
+    select distinct p.doc_id, unnest(range(p.i, p.i + 50)) as j from passages p join firsts f on p.passage = f.passage where f.first < p.doc_id
+), words as (
+    select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as j from split
+), judged as (
+    select w.*, g.j is not null as is_gone from words w left join gone g on w.doc_id = g.doc_id and w.j = g.j
+), kept as (
+    select doc_id, count(*) as n_words, count(*) filter (where is_gone) as n_removed,
+           string_agg(word, ' ' order by j) filter (where not is_gone) as rest
+    from judged group by doc_id
+)
+select d.doc_id, coalesce(k.n_words, 0) as n_words, coalesce(k.n_removed, 0) as n_removed, sha256(coalesce(k.rest, '')) as kept_sha256
+from documents d left join kept k on d.doc_id = k.doc_id
+"""
+
+
+@_query("op4_substring_dedup", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.dedup_passages(_table(spark, folder, "documents"))
+
+
 @_query("op5_pii")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_pii(_table(spark, folder, "documents"))
