@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import langid, licenses, line_dedup, packing, pii, substring_dedup
+from cohort.llm import decontaminate, langid, licenses, line_dedup, packing, pii, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,44 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+OP1_SQL = r"""
+with docs as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+    from documents
+), items as (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+    from benchmark
+), item_starts as (
+    select item_id, ws, least(len(ws), 10) as size, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) as i from items where len(ws) > 0
+), windows as (
+    select distinct cast(item_id as varchar) as item_id, size, array_to_string(ws[i : i + size - 1], ' ') as passage from item_starts
+), sizes as (
+    select distinct size from windows
+), doc_starts as (
+    select doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) as i from docs cross join sizes where len(ws) >= size
+), hits as (
+    select d.doc_id, d.i, d.size, w.item_id
+    from (select doc_id, i, size, array_to_string(ws[i : i + size - 1], ' ') as passage from doc_starts) d
+    join windows w on d.passage = w.passage and d.size = w.size
+), places as (
+    select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + size)) as j from hits) group by doc_id
+), met as (
+    select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+    from (select distinct doc_id, item_id from hits) group by doc_id
+)
+select d.doc_id, len(d.ws) as n_words, coalesce(p.n_hit, 0) as n_hit, coalesce(m.n_items, 0) as n_items,
+       sha256(coalesce(m.ids, '')) as items_sha256, coalesce(p.n_hit, 0) > 0 as contaminated
+from docs d left join places p on d.doc_id = p.doc_id left join met m on d.doc_id = m.doc_id
+"""
+
+
+@_query("op1_decontamination", OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 OP3_SQL = """
 with lines as (
     select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
