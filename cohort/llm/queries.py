@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import decontaminate, langid, licenses, line_dedup, packing, pii, substring_dedup
+from cohort.llm import decontaminate, langid, licenses, line_dedup, order_minhash, packing, pii, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,6 +65,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+@_query("op2_order_minhash")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.fingerprint_neighbours(_table(spark, folder, "documents"))
+
+
 OP3_SQL = """
 with lines as (
     select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
