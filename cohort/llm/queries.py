@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import decontaminate, langid, licenses, line_dedup, order_minhash, packing, pii, substring_dedup
+from cohort.llm import decontaminate, langid, licenses, line_dedup, order_minhash, packing, pii, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,6 +137,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, folder, "documents"))
 
 
+@_query("op8_token_counts")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_through_edits(_table(spark, folder, "documents"), token_counts.sample_edits())
+
+
 @_query("op9_best_fit_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
