@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import decontaminate, langid, licenses, line_dedup, order_minhash, packing, pii, substring_dedup, token_counts
+from cohort.llm import decontaminate, langid, licenses, line_dedup, ngram_join, order_minhash, packing, pii, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,6 +132,37 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_pii(_table(spark, folder, "documents"))
 
 
+OP6_SQL = r"""
+with recursive split as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') as ws
+    from documents
+), starts as (
+    select doc_id, ws, least(len(ws), 3) as size, unnest(range(1, len(ws) - least(len(ws), 3) + 2)) as i from split where len(ws) > 0
+), shingles as (
+    select distinct doc_id, array_to_string(ws[i : i + size - 1], ' ') as s from starts
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s where a.doc_id <> b.doc_id group by 1, 2
+), links as (
+    select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 90 * (p.n + q.n - c)
+), reach as (
+    select doc_id as root, doc_id as at from documents
+    union
+    select r.root, l.y from reach r join links l on r.at = l.x
+)
+select d.doc_id, coalesce(z.n, 0) as n_shingles, r.component_id
+from documents d left join sizes z on d.doc_id = z.doc_id
+join (select root, min(at) as component_id from reach group by root) r on r.root = d.doc_id
+"""
+
+
+@_query("op6_ngram_join", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_groups(_table(spark, folder, "documents"))
+
+
 @_query("op7_license_scan")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, folder, "documents"))
