@@ -148,13 +148,13 @@ with recursive split as (
 ), links as (
     select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 90 * (p.n + q.n - c)
 ), reach as (
-    select doc_id as root, doc_id as at from documents
+    select doc_id as root, doc_id as node from documents
     union
-    select r.root, l.y from reach r join links l on r.at = l.x
+    select r.root, l.y from reach r join links l on r.node = l.x
 )
 select d.doc_id, coalesce(z.n, 0) as n_shingles, r.component_id
 from documents d left join sizes z on d.doc_id = z.doc_id
-join (select root, min(at) as component_id from reach group by root) r on r.root = d.doc_id
+join (select root, min(node) as component_id from reach group by root) r on r.root = d.doc_id
 """
 
 

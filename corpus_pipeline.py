@@ -13,10 +13,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", stages.language_id),
-    ("pack", stages.pack),
+    ("line_dedup", stages.line_dedup_stage),
+    ("near_duplicates", stages.near_duplicates),
+    ("decontamination", stages.decontamination),
+    ("packing", stages.pack),
 ]
 
-# Tokens, string kernels and document order have no SQL form; the tests compare with a brute-force version.
+# String kernels and tokens have no SQL form; the tests compare the rows with a brute-force version.
 ORACLE_SQL = None
 
 
