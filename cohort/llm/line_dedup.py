@@ -175,18 +175,18 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
 
 def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
     """The rows of ``docs`` with the same columns, their texts without the lines that ``dedup_lines`` drops."""
-    lost = doomed_lines(docs, least_chars, least_docs, batches).select(F.col("doc_id").alias("_lost_id"), F.col("lines").alias("_lost"))
-    joined = docs.join(lost, F.col("doc_id") == F.col("_lost_id"), "left").drop("_lost_id")
+    lost = doomed_lines(docs, least_chars, least_docs, batches).select(F.col("doc_id").alias("_llm_lost_id"), F.col("lines").alias("_llm_lost"))
+    joined = docs.join(lost, F.col("doc_id") == F.col("_llm_lost_id"), "left").drop("_llm_lost_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = [
                 kept_lines(t, {(k["h1"], k["h2"]) for k in lost}, least_chars)[0] if lost else t
-                for t, lost in zip(batch.column("text").to_pylist(), batch.column("_lost").to_pylist(), strict=True)
+                for t, lost in zip(batch.column("text").to_pylist(), batch.column("_llm_lost").to_pylist(), strict=True)
             ]
-            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "_lost"]
+            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "_llm_lost"]
             columns[at] = pa.array(texts, type=batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "_lost"])
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "_llm_lost"])
 
     return joined.mapInArrow(work, docs.schema)

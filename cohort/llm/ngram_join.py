@@ -59,7 +59,7 @@ class Rule:
 
 
 SCREEN = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("c2", pa.int64())])
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("loads", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("c2", pa.int64()), ("tokens", pa.binary()), ("loads", pa.binary())])
 TOKENS = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 CANDIDATES = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("least", pa.int32()), ("open", pa.bool_())])
 DIFFERENCES = pa.schema([("family", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("gone", pa.int32()), ("base", pa.int32()), ("added", pa.binary()), ("removed", pa.binary())])
@@ -102,7 +102,8 @@ def sets_of(docs: DataFrame, rule: Rule) -> DataFrame:
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
             sets = [rule.shingles(text) for text in batch["text"]]
-            yield {"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets], "loads": [_loads(s) for s in sets]}
+            hashes = [_set_hash(s) for s in sets]
+            yield {"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "h": [h for h, _ in hashes], "c2": [c for _, c in hashes], "tokens": [s.tobytes() for s in sets], "loads": [_loads(s) for s in sets]}
 
     return over_batches(docs.select("doc_id", "text"), work, SETS)
 
@@ -195,18 +196,18 @@ def _costly(tokens: DataFrame, key: list[str]) -> DataFrame:
     return tokens.groupBy(*key).agg(F.count(F.lit(1)).alias("_held"), F.min("doc_id").alias("_leader")).filter(F.col("_held") > COSTLY)
 
 
-def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Edges ``src, dst`` between documents that span all groups of linked documents, and the rows ``doc_id, n, rep`` of ``docs``.
+def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges ``src, dst`` that span the groups of linked representatives; ``doc_id, rep``; and ``doc_id, n_shingles`` of each row.
 
-    ``rep`` is the smallest document with the same set; only representatives are joined, and copies follow theirs.
+    ``rep`` is the smallest document with the same set, null without words; copies follow their representatives.
     """
     docs = texts_of(docs)
     seen = stage(screen(docs, rule))
-    key = ["h", "c2", "n"]
     whole = seen.filter("c2 is not null")
-    reps = whole.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    whole = stage(whole.join(reps, key, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
-    own = whole.filter("doc_id = rep").select("doc_id").distinct()
+    named = whole.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h", "c2", "n")).alias("set"), F.count(F.lit(1)).alias("rows"))
+    reps = named.filter("set.n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
+    named = stage(named.join(reps, "set", "left"))
+    own = named.filter("doc_id = rep").select("doc_id")
 
     tokens = seen.filter("c2 is null").select("doc_id", "n", "h")
     common = tokens.groupBy("h").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select("h")
@@ -214,7 +215,10 @@ def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     again = shared.groupBy("h").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select("h")
     least = F.expr(f"least(1 + ceil({rule.percent} * n / 100) div {MATCH_SHARE}, ceil({rule.percent} * ceil({rule.percent} * n / 100) / 100))")
     met = shared.join(again, "h").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_met"), F.min("n").alias("n")).filter(F.col("_met") >= least)
-    sets = stage(sets_of(docs.join(met.select("doc_id"), "doc_id"), rule))
+    sets = sets_of(docs.join(met.select("doc_id"), "doc_id"), rule)
+    if not named.filter("rows > 1").isEmpty():
+        sets = sets.join(named.select("doc_id", "set.h", "set.c2"), ["doc_id", "h", "c2"], "left_semi").dropDuplicates(["doc_id"])
+    sets = stage(sets)
 
     held = _unpacked(sets)
     costly = stage(_costly(held, ["h"]))
@@ -228,9 +232,8 @@ def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     opened = stage(dear.join(rows.filter("open").select("doc_id").distinct(), "doc_id", "left_semi"))
     if not opened.isEmpty():
         edges += _by_differences(opened, sets, rule)
-    several = whole.filter("rep is not null and doc_id <> rep").join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
-    every = reduce(DataFrame.unionByName, [*edges, several.distinct()])
-    return every.select(F.col("x").alias("src"), F.col("y").alias("dst")), whole
+    every = reduce(DataFrame.unionByName, edges).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    return every, named.select("doc_id", "rep"), whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
 
 
 def _families(members: DataFrame) -> DataFrame:
@@ -308,10 +311,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     Words are ``[^\\x20\\x09-\\x0D]+`` with A to Z lower-cased; a set holds the distinct runs of ``shingle`` words, or of all
     words if there are fewer. Two documents link if ``100 * intersection >= percent * union``; the component is the smallest
     id that links reach. Documents without words link with nothing. Rows without an id have no component; rows that share an
-    id are one document, which links through any of its texts.
+    id are one document, which links by the one of their sets that has the smallest hash.
     """
-    edges, whole = links(docs, Rule(shingle, percent))
-    nodes = whole.filter("doc_id is not null").select(F.coalesce("rep", "doc_id").alias("node")).distinct()
-    found = components(edges, nodes).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
-    named = whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    return named.join(found, "rep", "left").select("doc_id", "n_shingles", "component_id")
+    edges, named, rows = links(docs, Rule(shingle, percent))
+    found = components(edges, named.filter("doc_id = rep").select(F.col("doc_id").alias("node")))
+    found = found.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    named = named.join(found, "rep", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(named, "doc_id", "left").select("doc_id", "n_shingles", "component_id")

@@ -197,7 +197,7 @@ def _sign_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers that only show once disguises are undone; none that a plain one of its kind touches."""
+    """Identifiers that only show, or only show whole, once disguises are undone; none inside a plain one of its kind."""
     rewrite = Rewrite(text)
     if not text.isascii():
         rewrite.apply(_plain_edits(rewrite.form))
@@ -213,7 +213,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     added = []
     for start, end, kind in detect(rewrite.form):
         a, b = rewrite.source(start, end)
-        if text[a:b] != rewrite.form[start:end] and not any(k == kind and s < b and a < e for s, e, k in base):
+        if text[a:b] != rewrite.form[start:end] and not any(k == kind and s <= a and b <= e for s, e, k in base):
             added.append((a, b, kind))
     return added
 
