@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohort.contracts import guard, must_fail
+from cohort.contracts import ContractError, covers, guard
 from cohort.functions.expressions import divide
 from cohort.operators.normalise import COUNT_COLUMNS, OPEN_LABEL, unpivot
 
@@ -29,7 +29,7 @@ def by_sex(profiles: DataFrame, published: DataFrame) -> DataFrame:
 
 
 def published_totals(rows: DataFrame, municipality: str, years: Sequence[int]) -> DataFrame:
-    """One row per year from the long published file; every sex once, total = sum of sexes."""
+    """One row per year from the long published file; every sex once, total = sum of sexes, no requested year absent."""
     number = F.replace(F.col("Total"), F.lit("."), F.lit("")).try_cast("bigint")
     year = F.col("Periodo").try_cast("int")
     kept = rows.filter((F.col("Municipios") == municipality) & year.isin(*years))
@@ -42,7 +42,8 @@ def published_totals(rows: DataFrame, municipality: str, years: Sequence[int]) -
         F.count(F.lit(1)).alias("_n"), F.count_distinct("Sexo").alias("_d"),
     )
     whole = (F.col("_n") == 3) & (F.col("_d") == 3) & (F.col("total") == F.col("male") + F.col("female"))
-    return guard(out, {"published dimensions": F.coalesce(~whole, F.lit(True))}).drop("_n", "_d")
+    out = guard(out, {"published dimensions": F.coalesce(~whole, F.lit(True))}).drop("_n", "_d")
+    return covers(out, rows.sparkSession.createDataFrame([(y,) for y in years], "year int"), ["year"])
 
 
 def sections(raw: DataFrame, published: DataFrame) -> DataFrame:
@@ -165,10 +166,10 @@ def fill_summary(filled: DataFrame) -> DataFrame:
 def checked_fill(audit: DataFrame, policy_id: str, expected: int, **scope: int) -> DataFrame:
     """:func:`fill_zero`, refused when the inferred count differs from the verified raw blanks."""
     filled = fill_zero(audit, policy_id, **scope)
-    count = filled.agg(F.count("count_policy_id").alias("n")).scalar()
-    return filled.withColumn("_n", count).filter(
-        F.when(F.col("_n") == expected, True).otherwise(must_fail("inferred cell count differs from verified blanks"))
-    ).drop("_n")
+    found = filled.agg(F.count("count_policy_id").alias("n")).head().n
+    if found != expected:
+        raise ContractError(f"inferred cell count {found} differs from the {expected} verified blanks")
+    return filled
 
 
 def rows_equal(left: DataFrame, right: DataFrame, row_number: str = "row_number") -> DataFrame:

@@ -23,26 +23,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(own).filter("src <> dst").distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, component)``; the component is its smallest node, and lone nodes keep their own.
 
     Each round is a few hash aggregations and joins. Minimums are combined before the shuffle,
     and the join that follows meets one row per node, which adaptive execution splits when a hub
-    owns much of the edge list. Rounds end when the edge set repeats; each is written out, so
-    lost executors re-read files and not the whole history.
+    owns much of the edge list. Rounds end when the edge set repeats, which it must: every round
+    lowers some end of an edge. Each is written out, so lost executors re-read files and not the
+    whole history.
     """
     current = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).filter("src <> dst")
     current = stage(current.distinct())
     mark = _fingerprint(current)
-    for _ in range(max_rounds):
-        following = stage(_small_star(_large_star(current)))
-        seen = _fingerprint(following)
-        current = following
+    while True:
+        current = stage(_small_star(_large_star(current)))
+        seen = _fingerprint(current)
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

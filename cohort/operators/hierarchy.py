@@ -9,46 +9,52 @@ from pyspark.sql import functions as F
 
 from cohort.contracts import must_fail
 from cohort.functions.expressions import divide, rank_status, status_rank
-from cohort.params import LEVELS
+from cohort.operators.staging import stage
 
 
-def closure(geographies: DataFrame, max_depth: int = len(LEVELS) - 1) -> DataFrame:
+def closure(geographies: DataFrame) -> DataFrame:
     """``(area_id, ancestor_id, depth)`` for every area and each ancestor, itself included.
 
-    Paths are built among the areas that are parents, a small part of the table, and every area
-    then takes its parent's path in one join whose keys repeat only by direct children. An
-    unknown parent, a cycle, or a tree deeper than ``max_depth`` fails the job.
+    Paths are built among the areas that are parents, a small part of the table: each round appends to a path the path of
+    the area it ends at, so their lengths double and a tree of any depth takes a logarithmic number of written rounds.
+    Every area then takes its parent's path in one join whose keys repeat only by direct children. An unknown parent or a
+    cycle fails the job.
     """
     nodes = geographies.select("area_id", "parent_id")
     named = nodes.select(F.col("parent_id").alias("area_id")).filter("area_id is not null").distinct()
     inner = nodes.join(named, "area_id", "left_semi")
-    step = inner.select(F.col("area_id").alias("_next"), F.col("parent_id").alias("_after"), F.lit(True).alias("_met"))
-    path = inner.select("area_id", F.array("area_id").alias("path"), F.col("parent_id").alias("_next"))
-    for _ in range(max_depth - 1):
-        known = F.when(F.col("_met"), F.concat("path", F.array("_next"))).otherwise(must_fail("unknown parent"))
-        path = path.join(step, "_next", "left").select(
-            "area_id", F.when(F.col("_next").isNull(), F.col("path")).otherwise(known).alias("path"), F.col("_after").alias("_next"))
-    closed = F.when(F.col("_next").isNull(), F.col("path")).otherwise(must_fail("parent cycle, or a tree too deep"))
-    above = path.select(F.col("area_id").alias("parent_id"), closed.alias("above"))
+    path = stage(inner.select("area_id", F.array("area_id").alias("path"), F.col("parent_id").alias("_next")))
+    while not path.filter("_next is not null").isEmpty():
+        above = path.select(F.col("area_id").alias("_next"), F.col("path").alias("_path"), F.col("_next").alias("_after"))
+        met = F.coalesce("_path", must_fail("unknown parent"))
+        # Paths of a cycle never end; within log2 of its length one of them meets itself.
+        longer = F.when(F.arrays_overlap("path", met), must_fail("parent cycle")).otherwise(F.concat("path", met))
+        path = stage(path.join(above, "_next", "left").select(
+            "area_id", F.when(F.col("_next").isNull(), F.col("path")).otherwise(longer).alias("path"), F.col("_after").alias("_next")))
+    above = path.select(F.col("area_id").alias("parent_id"), F.col("path").alias("above"))
     whole = F.when(F.col("parent_id").isNull(), F.array("area_id")).otherwise(
         F.concat(F.array("area_id"), F.coalesce("above", must_fail("unknown parent"))))
-    return nodes.join(above, "parent_id", "left").select("area_id", F.posexplode(whole).alias("depth", "ancestor_id"))
+    return stage(nodes.join(above, "parent_id", "left").select("area_id", F.posexplode(whole).alias("depth", "ancestor_id")))
 
 
-def unreachable(geographies: DataFrame, max_depth: int = len(LEVELS) - 1) -> DataFrame:
-    """Areas that break the tree contract: ``(area_id, problem)``."""
+def unreachable(geographies: DataFrame) -> DataFrame:
+    """Areas that break the tree contract: ``(area_id, problem)``.
+
+    Every area points at its parent, and each round moves the pointers twice as far. A path without a cycle is at most as
+    long as there are areas, so the rounds end after log2 of their number: whoever still points somewhere is on or below a cycle.
+    """
     nodes = geographies.select("area_id", "parent_id")
-    known = nodes.select(F.col("area_id").alias("parent_id"))
-    unknown = nodes.filter("parent_id is not null").join(known, "parent_id", "left_anti")
-    frontier = nodes.filter("parent_id is null").select("area_id")
-    reached = frontier
-    for _ in range(max_depth):
-        frontier = nodes.join(frontier.select(F.col("area_id").alias("parent_id")), "parent_id").select("area_id")
-        reached = reached.unionByName(frontier)
-    lost = nodes.select("area_id").join(reached, "area_id", "left_anti").join(unknown.select("area_id"), "area_id", "left_anti")
-    return unknown.select("area_id", F.lit("unknown_parent").alias("problem")).unionByName(
-        lost.withColumn("problem", F.lit("cycle_or_below_unknown"))
-    )
+    known = nodes.select(F.col("area_id").alias("parent_id"), F.lit(True).alias("_known")).distinct()
+    joined = nodes.join(known, "parent_id", "left")
+    unknown = F.col("parent_id").isNotNull() & F.col("_known").isNull()
+    at = stage(joined.select("area_id", F.when(F.col("_known"), F.col("parent_id")).alias("up"), unknown.alias("direct"), unknown.alias("lost")))
+    for _ in range(at.count().bit_length()):
+        if at.filter("up is not null").isEmpty():
+            break
+        above = at.select(F.col("area_id").alias("up"), F.col("up").alias("_up"), F.col("lost").alias("_lost"))
+        at = stage(at.join(above, "up", "left").select("area_id", F.col("_up").alias("up"), "direct", F.coalesce("_lost", "lost").alias("lost")))
+    label = F.when(F.col("direct"), "unknown_parent").otherwise("cycle_or_below_unknown")
+    return at.filter("lost or up is not null").select("area_id", label.alias("problem"))
 
 
 def mixed_grain(leaves: DataFrame, closure_: DataFrame) -> DataFrame:

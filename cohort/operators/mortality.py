@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohort.contracts import guard, must_fail
+from cohort.contracts import covers, guard, must_fail, unique
 from cohort.functions.expressions import is_finite, product, single_age, spanish_number
 from cohort.params import MAX_AGE, SEXES
 
@@ -60,20 +60,22 @@ def survival(
     """
     rows = mortality
     if half_age:
+        rows = guard(rows, schedule_rules())
         w = Window.partitionBy(*by, "year", "sex").orderBy("age")
         above = F.when(F.lead("age").over(w) == F.col("age") + 1, F.lead("qx").over(w))
         rows = rows.withColumn("qx", 0.5 * (F.col("qx") + above)).filter("qx is not null")
-    bad = ~is_finite(F.col("qx")) | ~F.col("qx").between(0, 1)
-    chains = _diagonals(guard(rows, {"mortality probability outside [0,1]": bad}), start_year, end_year, by)
+    chains = _diagonals(rows, start_year, end_year, by)
     whole = F.size("chain") == end_year - start_year
     return chains.select(*by, "age", "sex", F.when(whole, product(F.transform("chain", lambda c: 1.0 - c["qx"]))).alias("survival"))
 
 
-def schedule_rules() -> dict[str, Column]:
-    return {
+def schedule_rules(risk: bool = True) -> dict[str, Column]:
+    """Rules of a schedule's rows; with ``risk`` also that ``qx`` is a probability (a missing one shows as a gap later)."""
+    rules = {
         "schedule age": F.coalesce(~F.col("age").between(0, MAX_AGE), F.lit(True)),
         "schedule sex": F.coalesce(~F.col("sex").isin(*SEXES), F.lit(True)),
     }
+    return rules | ({"mortality probability outside [0,1]": ~F.col("qx").between(0, 1)} if risk else {})
 
 
 def _diagonals(rows: DataFrame, start_year: int, end_year: int, by: Sequence[str], columns: Sequence[str] = ("qx",)) -> DataFrame:
@@ -84,20 +86,22 @@ def _diagonals(rows: DataFrame, start_year: int, end_year: int, by: Sequence[str
     """
     offset = F.col("year") - start_year
     return (
-        guard(rows, schedule_rules()).filter((F.col("year") >= start_year) & (F.col("year") < end_year) & (F.col("age") >= offset))
+        guard(rows, schedule_rules("qx" in columns)).filter((F.col("year") >= start_year) & (F.col("year") < end_year) & (F.col("age") >= offset))
         .groupBy(*by, (F.col("age") - offset).cast("int").alias("age"), "sex")
         .agg(F.array_sort(F.collect_list(F.struct(offset.alias("step"), *columns))).alias("chain"))
     )
 
 
 def national_extract(df: DataFrame, start_year: int, end_year: int, measure: str = RISK, divisor: float = 1000.0) -> DataFrame:
-    """Published single-age risks (ages up to 99) as ``(year, age, sex, qx)``."""
+    """Published single-age risks (ages up to 99) as ``(year, age, sex, qx)``; each cell once and none missing."""
     age = single_age(F.col("Edad"))
     year = F.col("Periodo").try_cast("int")
     wanted = (F.col("Funciones") == measure) & F.col("Sexo").isin(*SEX_LABELS) & (year >= start_year) & (year < end_year) & (age <= 99)
     qx = spanish_number(F.col("Total")) / divisor
     out = df.filter(wanted).select(year.alias("year"), age.alias("age"), _sex(F.col("Sexo")).alias("sex"), qx.alias("qx"))
-    return guard(out, {"invalid mortality cell": F.col("qx").isNull() | ~F.col("qx").between(0, 1)})
+    out = guard(out, {"invalid mortality cell": F.col("qx").isNull() | ~F.col("qx").between(0, 1)})
+    keys = ["year", "age", "sex"]
+    return covers(unique(out, keys), required_grid(out, start_year, end_year, 99), keys)
 
 
 def national_schedules(df: DataFrame, start_year: int, end_year: int) -> DataFrame:

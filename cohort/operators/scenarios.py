@@ -45,9 +45,11 @@ def _alive(q: Column, first: Column, count: Column) -> Column:
 def birth_rates(qx: DataFrame, fertility: DataFrame, params: Params) -> DataFrame:
     """``(age, year, rate)``: births per woman of each start age in each year of the window.
 
-    A woman still has to be alive; mid-year exposure averages the year's start and end.
+    A woman still has to be alive; mid-year exposure averages the year's start and end. Every age
+    has its rows, with a null rate where its mortality is missing, so no woman drops out.
     """
-    chains = _chains(qx, params).filter("sex = 'female' and age <= 49")
+    ages = qx.sparkSession.range(50).select(F.col("id").cast("int").alias("age"))
+    chains = ages.join(_chains(qx, params).filter("sex = 'female'").drop("sex"), "age", "left")
     steps = chains.select("age", "q", F.explode(F.sequence(F.lit(0), F.lit(params.interval - 1))).alias("step"))
     steps = steps.filter(F.col("age") + F.col("step") <= 49)
     whole = F.size("q") > F.col("step")
@@ -56,7 +58,8 @@ def birth_rates(qx: DataFrame, fertility: DataFrame, params: Params) -> DataFram
     year = (F.col("step") + params.start_year).cast("int")
     rows = steps.select("age", year.alias("year"), (F.col("age") + F.col("step")).alias("_at"), mid.alias("exposure"))
     rates = guard(fertility, {"fertility rate": ~F.col("asfr_per_1000").between(0, 1000)})
-    rates = rates.select("year", F.col("age").alias("_at"), "asfr_per_1000")
+    rates = rates.groupBy("year", F.col("age").alias("_at")).agg(F.max("asfr_per_1000").alias("asfr_per_1000"), F.count(F.lit(1)).alias("_rows"))
+    rates = guard(rates, {"repeated fertility cell": F.col("_rows") > 1}).drop("_rows")
     fertile = rows.filter(F.col("_at").between(15, 49)).join(rates, ["year", "_at"], "left")
     rate = required(F.col("asfr_per_1000"), "missing fertility") / 1000 * F.col("exposure")
     return fertile.select("age", "year", rate.alias("rate"))
@@ -82,9 +85,11 @@ def child_survival(qx: DataFrame, params: Params, male_share: float = MALE_SHARE
     """``(year, sex, age, factor)``: sex share × half a year of infant risk × later years."""
     if not 0 < male_share < 1:
         raise ValueError("the male share of births must lie inside (0, 1)")
+    qx = guard(qx, mortality.schedule_rules())
     infants = qx.filter(
         (F.col("age") == 0) & (F.col("year") >= params.start_year) & (F.col("year") < params.end_year)
-    ).select("year", "sex", F.col("qx").alias("q0"))
+    ).groupBy("year", "sex").agg(F.max("qx").alias("q0"), F.count(F.lit(1)).alias("_rows"))
+    infants = guard(infants, {"repeated infant mortality": F.col("_rows") > 1}).drop("_rows")
     # A child born in year y is 1 at the start of y + 1 and then follows one diagonal.
     born = F.col("year") - F.col("age")
     later = (

@@ -460,7 +460,11 @@ def _(f):
     return rounded(mortality.to_qx(found.withColumnRenamed("value", "qx"), "qx"), 9)
 
 
-@query("src8_bank_controls", "select district, age, sex, nationality, population from fx_district_controls")
+@query("src8_bank_controls", """
+select g.district, g.age, k.sex, k.nationality, coalesce(c.population, 0) as population
+from (select distinct district, age from fx_district_controls) g
+cross join (select distinct s as sex, n as nationality from (values ('male'), ('female')) a(s) cross join (values ('ESP'), ('EXT')) b(n)) k
+left join fx_district_controls c on c.district = g.district and c.age = g.age and c.sex = k.sex and c.nationality = k.nationality""")
 def _(f):
     wide = f.district_controls.groupBy("district", "age").agg(*[
         F.max(F.when((F.col("sex") == s) & (F.col("nationality") == n), F.col("population"))).alias(tables.BANK_FIELDS[c]) for c, s, n in CELLS])
@@ -470,8 +474,8 @@ def _(f):
     body = records.groupBy("district").agg(F.collect_list("r").alias("listaConsulta")).select(F.to_json(F.struct(
         F.lit("success").alias("status"), F.create_map(F.lit("Año: "), F.lit("2015")).alias("mapaEpigrafesFiltros"), "listaConsulta")).alias("j"))
     responses = body.select(F.from_json("j", tables.BANK_SCHEMA).alias("b")).select("b.*")
-    long = tables.bank_controls(responses, {"Año: ": "2015"})
-    return long.join(f.district_controls.select("district", "age", "sex", "nationality"), ["district", "age", "sex", "nationality"], "left_semi")
+    keys = f.district_controls.select("district", "age").distinct()
+    return tables.bank_controls(responses, {"Año: ": "2015"}, keys)
 
 
 def sheet(f: Fixtures) -> DataFrame:

@@ -562,17 +562,19 @@ def _(f):
 
 
 def members(f: Fixtures, level: str) -> DataFrame:
-    """Parents named by each old section's two memberships: current and one later reading."""
-    return f.sql("""
-select case when section_id like 'X%' then 'S' || substr(section_id, 2) else section_id end as zone_id, vintage, 'R' || cast(n_regionkey as string) as district, barrio
-from fx_membership join nation on 'N' || cast(n_nationkey as string) = barrio
-where section_id not like 'M%' and section_id not like '%a' and section_id not like '%b'""").select("zone_id", "vintage", F.col(level).alias("code"))
+    """Parents named for the sections of each zone, in both vintages."""
+    zones, _ = overlay(f)
+    walk = xwk.crosswalk(zones).select("vintage", "source_id", "zone_id")
+    named = f.sql("""
+select section_id as source_id, vintage, 'R' || cast(n_regionkey as string) as district, barrio
+from fx_membership join nation on 'N' || cast(n_nationkey as string) = barrio""")
+    return named.join(walk, ["vintage", "source_id"]).select("zone_id", "vintage", F.col(level).alias("code"))
 
 
 shared("x_named", """
-select case when section_id like 'X%' then 'S' || substr(section_id, 2) else section_id end as zone_id, vintage, 'R' || cast(n_regionkey as string) as district, barrio
-from fx_membership join nation on 'N' || cast(n_nationkey as string) = barrio
-where section_id not like 'M%' and section_id not like '%a' and section_id not like '%b'""")
+select w.zone_id, m.vintage, 'R' || cast(n_regionkey as string) as district, barrio
+from fx_membership m join nation on 'N' || cast(n_nationkey as string) = barrio
+join x_walk w on w.vintage = m.vintage and w.source_id = m.section_id""")
 
 
 def _pool_sql(level: str, prefix: str, want: str) -> str:
@@ -738,6 +740,11 @@ PARENT_RECORDS = """
 select s_suppkey as row_number, cast(s_nationkey % 21 + 1 as string) as district, cast((s_nationkey % 21 + 1) * 10 + s_suppkey % 9 + 1 as string) as barrio from supplier"""
 
 
+# A layer has each parent once.
+PARENT_RECORDS = f"""
+select min(row_number) as row_number, district, min(barrio) as barrio from ({PARENT_RECORDS}) group by district, cast(barrio as int) % 10"""
+
+
 @query("src11_parent_codes", f"""
 select row_number, district, barrio, lpad(district, 2, '0') || lpad((barrio::int % 10)::varchar, 2, '0') as parent_id from ({PARENT_RECORDS})""")
 def _(f):

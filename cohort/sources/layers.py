@@ -68,17 +68,21 @@ def section_rules(municipality: str, municipality_column: str = "cumun") -> dict
 
 
 def sections(attributes: DataFrame, municipality: str) -> DataFrame:
-    """Section attributes of one municipality, checked."""
-    return guard(attributes.filter(F.col("cumun") == municipality), section_rules(municipality))
+    """Section attributes of one municipality, checked; a repeated code or a municipality without sections raises."""
+    kept = guard(attributes.filter(F.col("cumun") == municipality), section_rules(municipality))
+    if kept.isEmpty():
+        raise ContractError(f"no sections of {municipality}")
+    return unique(kept, ["code"])
 
 
 def parent_layer(records: DataFrame, expected: int) -> DataFrame:
-    """Canonical parent ids of a layer's records with the declared number of features."""
+    """Canonical parent ids of a layer's records; another number of features than declared, or a repeated id, raises."""
     coded = records.withColumn("parent_id", canonical_parent(F.col("district"), F.col("barrio")))
     coded = guard(coded, {"parent code": F.col("parent_id").isNull()})
-    count = records.agg(F.count(F.lit(1)).alias("n")).scalar()
-    checked = coded.withColumn("_n", count)
-    return checked.filter(F.when(F.col("_n") == expected, True).otherwise(must_fail("feature count differs from the contract"))).drop("_n")
+    found = records.count()
+    if found != expected:
+        raise ContractError(f"{found} features where the contract has {expected}")
+    return unique(coded, ["parent_id"])
 
 
 def collection(vertices_: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort.contracts import ContractError, guard, must_fail, require_columns, unique
+from cohort.contracts import ContractError, covers, guard, must_fail, require_columns, unique
 from cohort.functions.expressions import is_digits
 from cohort.operators.normalise import COUNT_COLUMNS
 from cohort.params import LEVELS, MAX_AGE, NATIONALITIES, SEXES, STATUSES
@@ -160,12 +160,14 @@ def series_observations(
 
     ``series`` has ``MetaData`` (array of struct Variable.Codigo, Codigo) and ``Data`` (array of
     struct Anyo, Valor). Code tables are (code, age) and (code, sex), the size of a code list.
-    An unmapped age or sex, or a null value, fails the job.
+    An unmapped age or sex, or a null value, fails the job, and so does a selection that matches no series.
     """
     codes = F.map_from_entries(F.transform("MetaData", lambda m: F.struct(m["Variable"]["Codigo"], m["Codigo"])))
     s = series.withColumn("_m", codes)
     for variable, code in dimensions.items():
         s = s.filter(F.col("_m")[variable] == code)
+    if s.isEmpty():
+        raise ContractError(f"no series matches {dict(dimensions)}")
     s = s.select(F.col("_m")[age_variable].alias("_a"), F.col("_m")[sex_variable].alias("_s"), F.inline("Data"))
     s = s.join(age_codes.select(F.col("code").alias("_a"), "age"), "_a", "left").join(
         sex_codes.select(F.col("code").alias("_s"), "sex"), "_s", "left")
@@ -189,8 +191,11 @@ def read_bank(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
     return spark.read.schema(BANK_SCHEMA).option("multiLine", True).option("encoding", encoding).json(path)
 
 
-def bank_controls(responses: DataFrame, filters: Mapping[str, str] | None = None) -> DataFrame:
-    """``(district, age, sex, nationality, population)``; failed or out-of-scope responses fail the job."""
+def bank_controls(responses: DataFrame, filters: Mapping[str, str] | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """``(district, age, sex, nationality, population)``; failed or out-of-scope responses fail the job.
+
+    A repeated cell raises, as do records other than those of ``keys`` (district, age) where they are given.
+    """
     bad = (F.col("status") != "success") | (F.coalesce("errorTitulo", F.lit("")) != "")
     rules = {"failed response": F.coalesce(bad, F.lit(True))}
     for name, value in (filters or {}).items():
@@ -201,7 +206,9 @@ def bank_controls(responses: DataFrame, filters: Mapping[str, str] | None = None
         for c, (sex, nat) in COUNT_COLUMNS.items()
     ]))
     long = rows.select(F.col("r.distrito.VCodigo").try_cast("int").alias("district"), F.col("r.VEdad").try_cast("int").alias("age"), cells)
-    return guard(long, {"control count": F.coalesce(F.col("population") < 0, F.lit(True))})
+    long = guard(long, {"control count": F.coalesce(F.col("population") < 0, F.lit(True))})
+    unique(long, ["district", "age", "sex", "nationality"])
+    return covers(long, keys, ["district", "age"]) if keys is not None else long
 
 
 def sheet_rows(cells: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -231,18 +238,19 @@ def _sheet_counts(rows: DataFrame) -> DataFrame:
 
 
 def sheet_city(cells: DataFrame, label: str) -> DataFrame:
-    """The city row of each sheet with its counts; several rows for one sheet fail the job."""
+    """The city row of each sheet with its counts; a sheet with no such row, or with several, fails the job."""
     rows = sheet_rows(cells, SHEET_COLUMNS).filter((F.col("label") == label) & is_digits(F.col("total")))
     kept = ["row", *SHEET_COUNTS]
+    covers(rows, cells, ["sheet"])
     city = _sheet_counts(rows).groupBy("sheet").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in kept])
     return guard(city, {"several city rows": F.col("_n") != 1}).drop("_n")
 
 
 def sheet_sections(cells: DataFrame, prefix: str) -> DataFrame:
-    """Section rows (five-digit codes) with their counts and full ids."""
-    rows = sheet_rows(cells, SHEET_COLUMNS).filter(F.col("code").rlike("^[0-9]{5}$") & is_digits(F.col("total")))
-    counted = rows.withColumns({c: F.col(c).try_cast("bigint") for c in SHEET_COUNTS})
-    return counted.select("sheet", F.concat(F.lit(prefix), "code").alias("section_id"), *SHEET_COUNTS)
+    """Section rows (five-digit codes) with full ids; blank or inconsistent counts and repeated sections fail the job."""
+    rows = sheet_rows(cells, SHEET_COLUMNS).filter(F.col("code").rlike("^[0-9]{5}$"))
+    counted = _sheet_counts(rows).select("sheet", F.concat(F.lit(prefix), "code").alias("section_id"), *SHEET_COUNTS)
+    return unique(counted, ["sheet", "section_id"])
 
 
 def registry_rows(table: DataFrame, prefix: str) -> DataFrame:

@@ -8,6 +8,8 @@ from cohort.operators import hierarchy, model, mortality, qa, scenarios
 from cohort.params import Params
 from cohort.plans import project
 
+from conftest import rows
+
 TREE = "area_id string, name string, level string, parent_id string, boundary_status string"
 CELLS = "geography_id string, age int, sex string, nationality string, population bigint"
 P = Params(terminal_age=100, min_expected=20)
@@ -121,6 +123,46 @@ def test_unknown_geography_and_bad_cells_fail(spark):
         run(spark, cells(spark, ("s1", 131, "male", "ESP", 1)), cells(spark, ("s1", 40, "male", "ESP", 1)))[0].collect()
 
 
+def test_trees_of_any_depth(spark):
+    chain = spark.range(300).selectExpr("concat('a', id) as area_id", "if(id = 0, null, concat('a', id - 1)) as parent_id")
+    assert hierarchy.closure(chain).count() == 300 * 301 // 2
+    assert hierarchy.unreachable(chain).isEmpty()
+    looped = chain.withColumn("parent_id", F.when(F.col("area_id") == "a10", "a12").otherwise(F.col("parent_id")))
+    assert rows(hierarchy.unreachable(looped), "area_id") == sorted((f"a{n}",) for n in range(10, 300))
+    with pytest.raises(Exception, match="cycle"):
+        hierarchy.closure(looped)
+
+
+def fertility(spark, rate=50.0):
+    years = spark.range(2015, 2025).selectExpr("cast(id as int) as year")
+    return years.crossJoin(spark.range(15, 50).selectExpr("cast(id as int) as age")).withColumn("asfr_per_1000", F.lit(rate))
+
+
+def test_women_without_mortality_fail_the_births(spark):
+    women = cells(spark, ("s1", 30, "female", "ESP", 100))
+    assert scenarios.births(women, qx(spark), fertility(spark), P).count() == 10
+    with pytest.raises(Exception, match="missing mortality"):
+        scenarios.births(women, qx(spark).filter("age <> 30"), fertility(spark), P).collect()
+    with pytest.raises(Exception, match="repeated fertility"):
+        scenarios.births(women, qx(spark), fertility(spark).unionAll(fertility(spark)), P).collect()
+
+
+def test_risks_outside_their_range_fail_everywhere(spark):
+    wrong, women = qx(spark, 1.5), cells(spark, ("s1", 30, "female", "EXT", 100))
+    hazards = qx(spark).select("year", "age", "sex", F.lit(0.5).alias("hazard"))
+    closure = hierarchy.closure(tree(spark))
+    snapshots = women.withColumn("year", F.lit(2015)).unionByName(women.withColumn("year", F.lit(2025)))
+    for run_it in (
+        lambda: scenarios.births(women, wrong, fertility(spark), P),
+        lambda: scenarios.child_survival(wrong, P),
+        lambda: scenarios.nationality(women, wrong, hazards, P, (1.0,)),
+        lambda: mortality.survival(wrong, 2015, 2025),
+        lambda: model.window_detail(snapshots, wrong, closure, [("w", 2015, 2025, 90)]),
+    ):
+        with pytest.raises(Exception, match="probability outside"):
+            run_it().collect()
+
+
 @pytest.mark.parametrize("parent, message", [("nowhere", "unknown parent"), ("s1", "cycle")])
 def test_broken_trees_fail(spark, parent, message):
     geos = tree(spark).withColumn("parent_id", F.when(F.col("area_id") == "b", parent).otherwise(F.col("parent_id")))

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check_oracle import plain
+from cohort.plans import registry
 from cohort.plans.fixtures import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,7 +15,8 @@ SAMPLE = ["hie1_closure", "coh8_area_totals", "mor7_propagated_survivors", "scn5
 
 
 def test_every_query_has_reference_sql():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == WITHOUT_SQL
+    assert set(registry.callables()) - set(registry.oracle_sql()) == WITHOUT_SQL
+    assert set(registry.callables()) <= set(entry_points.queries())
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
