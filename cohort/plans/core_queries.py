@@ -253,9 +253,12 @@ select cast(age - (year - 2015) as int) as age, sex, case when count(*) = 10 the
 from x_half where qx is not null and year between 2015 and 2024 and age >= year - 2015 group by 1, 2""")
 
 
-@query("mor6_half_age_survival", "select age, sex, round(survival, 9) as survival from x_half_survival")
+@query("mor6_half_age_survival", """
+with half as (select year, age, sex, case when lead(age) over w = age + 1 then 0.5 * (qx + lead(qx) over w) end as qx from fx_rates window w as (partition by year, sex order by age))
+select cast(age - (year - 2015) as int) as age, sex, round(case when count(*) = 10 then product(1 - qx) end, 9) as survival
+from half where qx is not null and year between 2015 and 2024 and age >= year - 2015 group by 1, 2""")
 def _(f):
-    return rounded(mortality.survival(f.mortality, 2015, 2025, half_age=True), 9)
+    return rounded(mortality.survival(f.rates.select("year", "age", "sex", "qx"), 2015, 2025, half_age=True), 9)
 
 
 shared("x_lx_steps", """
@@ -285,10 +288,25 @@ def _(f):
 
 # Cohort core
 
+def _broken_cells(df: DataFrame, first: int) -> DataFrame:
+    """One fault of each kind, each at an age of its own from ``first`` on."""
+    age = F.col("age")
+    return df.select(
+        "geography_id",
+        F.when(age == first + 2, 200).otherwise(age).alias("age"),
+        F.when(age == first, "other").otherwise(F.col("sex")).alias("sex"),
+        F.when(age == first + 1, "ZZZ").otherwise(F.col("nationality")).alias("nationality"),
+        F.when(age == first + 3, -1).otherwise(F.col("population")).alias("population"),
+    )
+
+
 @query("coh1_cell_guard", """
-select s.side, r.rule, 0::bigint as violations from (values ('start'), ('end')) s(side), (values ('sex'), ('nationality'), ('age'), ('population')) r(rule)""")
+select s.side, r.rule, coalesce(n, 0) as violations
+from (values ('start', 20), ('end', 40)) s(side, first) cross join (values ('sex', 0), ('nationality', 1), ('age', 2), ('population', 3)) r(rule, nth)
+left join (select 'start' as side, age, count(*) as n from fx_population_start group by 1, 2 union all select 'end', age, count(*) from fx_population_end group by 1, 2) c
+  on c.side = s.side and c.age = s.first + r.nth""")
 def _(f):
-    return qa.checked_inputs(f.population_start, f.population_end)
+    return qa.checked_inputs(_broken_cells(f.population_start, 20), _broken_cells(f.population_end, 40))
 
 
 @query("coh2_age_shift", "select geography_id, cast(age + 10 as int) as age, sex, nationality, population from fx_population_start")
@@ -649,20 +667,29 @@ def _(f):
 
 # Checks
 
-@query("qa1_invariants", """
-with kids as (select parent_id as area_id from fx_geographies where parent_id is not null group by 1)
-select area_id, check_name, true as passed from fx_geographies cross join (values ('sex-nationality-sums'), ('survival-bounds'), ('stock-accounting')) c(check_name)
-union all select area_id, 'hierarchy', true from kids""")
-def _(f):
+def _index_with_fault(f):
+    """The detail, and an index whose first section has a residual that its cells do not have."""
     d, _, idx = results(f)
-    return qa.invariants(d, idx)
+    first = idx.filter("level = 'section'").agg(F.min("area_id").alias("area_id")).withColumn("_off", F.lit(1000.0))
+    return d, idx.join(first, "area_id", "left").withColumn("residual", F.col("residual") + F.coalesce("_off", F.lit(0.0))).drop("_off")
+
 
+shared("x_invariants", """
+with off as (select area_id, parent_id from fx_geographies where area_id = (select min(area_id) from fx_geographies where level = 'section')),
+kids as (select parent_id as area_id from fx_geographies where parent_id is not null group by 1)
+select area_id, check_name, not (check_name <> 'survival-bounds' and area_id in (select area_id from off)) as passed
+from fx_geographies cross join (values ('sex-nationality-sums'), ('survival-bounds'), ('stock-accounting')) c(check_name)
+union all select area_id, 'hierarchy', area_id not in (select parent_id from off) from kids""")
 
-@query("qa1_summary", """
-select true as passed, (3 * (select count(*) from fx_geographies) + (select count(distinct parent_id) from fx_geographies)) as checks, 0::bigint as failed""")
+
+@query("qa1_invariants", "select * from x_invariants")
 def _(f):
-    d, _, idx = results(f)
-    return qa.summary(qa.invariants(d, idx))
+    return qa.invariants(*_index_with_fault(f))
+
+
+@query("qa1_summary", "select bool_and(passed) as passed, count(*) as checks, count(*) filter (not passed) as failed from x_invariants")
+def _(f):
+    return qa.summary(qa.invariants(*_index_with_fault(f)))
 
 
 @query("qa6_independent", """

@@ -159,7 +159,9 @@ def _(f):
 
 
 @query("nrm16_conservation", f"""
-select sum({KNOWN})::bigint as wide_known, sum({KNOWN})::bigint as long_known, sum({BLANK})::bigint as wide_blank, sum({BLANK})::bigint as long_blank, true as conserved from fx_wide""")
+select wide_known, long_known, wide_blank, long_blank, wide_known = long_known and wide_blank = long_blank as conserved
+from (select sum({KNOWN})::bigint as wide_known, sum({BLANK})::bigint as wide_blank from fx_wide)
+cross join (select sum(population)::bigint as long_known, count(*) filter (population is null) as long_blank from x_audit)""")
 def _(f):
     return normalise.conservation(f.wide, audit(f))
 
@@ -275,7 +277,8 @@ def _(f):
 
 @query("ctl2_section_summary", f"""
 select count(*) filter (side <> 'raw_only' and difference = 0) as matching, count(*) filter (side <> 'raw_only' and difference <> 0) as differing, count(*) filter (side = 'raw_only') as raw_only,
-  count(*) filter (side = 'published_only') as published_only, sum(difference)::bigint as difference, sum(raw)::bigint as raw_total, sum(published)::bigint as published_total, true as accounted from ({SECTION_DIFF})""")
+  count(*) filter (side = 'published_only') as published_only, sum(difference)::bigint as difference, sum(raw)::bigint as raw_total, sum(published)::bigint as published_total,
+  sum(difference) = sum(coalesce(raw, 0)) - sum(coalesce(published, 0)) as accounted from ({SECTION_DIFF})""")
 def _(f):
     return controls.section_summary(section_pair(f))
 
@@ -303,9 +306,18 @@ def _(f):
 
 @query("ctl4_city_report", f"""
 select count(*) as rows, sum({KNOWN})::bigint as known_total, sum({KNOWN})::bigint as modelled_stock, 0::bigint as invalid_age_population, sum({BLANK})::bigint as raw_blank_cells,
-  0::bigint as control_differences, true as controls_matched, sum({BLANK})::bigint as inferred_blank_cells from fx_wide""")
+  (select count(*) from fx_controls where age = 30) as control_differences, false as controls_matched, 0::bigint as inferred_blank_cells from fx_wide""")
 def _(f):
-    return controls.city_report(f.wide, f.controls)
+    off = F.col("population") + F.when(F.col("age") == 30, 1).otherwise(0)
+    return controls.city_report(f.wide, f.controls.withColumn("population", off))
+
+
+@query("ctl4_city_report_matched", f"""
+select count(*) as rows, sum({KNOWN})::bigint as known_total, sum({BLANK})::bigint as raw_blank_cells,
+  (select count(*) from (select age, sex, nationality, sum(population)::bigint as known from x_audit where age < 100 group by all) k
+   full join fx_controls c on c.age = k.age and c.sex = k.sex and c.nationality = k.nationality where coalesce(k.known, 0) <> c.population or c.population is null) as control_differences from fx_wide""")
+def _(f):
+    return controls.city_report(f.wide, f.controls).select("rows", "known_total", "raw_blank_cells", "control_differences")
 
 
 @query("ctl4_barrio_stock", f"select cod_distrito as district, cod_dist_barrio as barrio, sum({KNOWN})::bigint as population from fx_wide group by all")

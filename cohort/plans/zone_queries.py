@@ -361,7 +361,9 @@ def _(f):
 
 
 @query("xwk2_total_preserved", """
-select round(b, 6) as population_before, round(b, 6) as population_after, true as preserved from (select sum(population)::double as b from fx_population_end_new)""")
+select round(b, 6) as population_before, round(a, 6) as population_after, abs(a - b) <= 1e-6 * greatest(b, 1) as preserved
+from (select sum(population)::double as b from fx_population_end_new)
+cross join (select sum(population * weight)::double as a from fx_population_end_new join x_walk on vintage = 'new' and source_id = geography_id)""")
 def _(f):
     return rounded(xwk.preserved(f.population_end_new, xwk.harmonise(f.population_end_new, walk(f, "new"))))
 
