@@ -11,7 +11,7 @@ from cohort.functions import expressions as ex
 from cohort.operators import controls, mortality, normalise, parents, profiling, registry
 from cohort.params import Params
 from cohort.plans import project
-from cohort.sources import files, sinks, tables
+from cohort.sources import files, layers, sinks, tables
 
 from conftest import rows
 
@@ -221,3 +221,47 @@ def test_writers(spark, small, tmp_path):
     assert not (tmp_path / "no").exists()
     recorded = sinks.output_inventory(spark, str(tmp_path / "ind"))
     assert files.changed(recorded, sinks.output_inventory(spark, str(tmp_path / "ind"))).isEmpty() and recorded.count() > 1
+
+
+def test_whole_table_rules(spark, tmp_path):
+    with pytest.raises(ContractError, match="duplicate key"):
+        normalise.to_long(wide(spark, tmp_path, "1;101;1001;30;1;2;3;4", "1;101;1001;30;1;2;3;4"))
+    with pytest.raises(ContractError, match="several parents"):
+        normalise.to_long(wide(spark, tmp_path, "1;101;1001;30;1;2;3;4", "1;102;1001;31;1;2;3;4"))
+    series = spark.createDataFrame([], "MetaData array<struct<Variable:struct<Codigo:string>,Codigo:string>>, Data array<struct<Anyo:int,Valor:double>>")
+    codes = spark.createDataFrame([("A", 1)], "code string, age int")
+    with pytest.raises(ContractError, match="no series"):
+        tables.series_observations(series, {"3": "x"}, "1", "2", codes, codes.withColumnRenamed("age", "sex"), 2015, 2016)
+    published = spark.createDataFrame([("M", s, "2015", str(n)) for s, n in (("Total", 3), ("Hombres", 1), ("Mujeres", 2))], "Municipios string, Sexo string, Periodo string, Total string")
+    assert controls.published_totals(published, "M", [2015]).count() == 1
+    with pytest.raises(ContractError, match="coverage"):
+        controls.published_totals(published, "M", [2015, 2025])
+
+
+def test_published_risks_are_complete(spark, small):
+    assert mortality.national_extract(small.stat_rows, 2015, 2025).count() == 2000
+    with pytest.raises(ContractError, match="coverage"):
+        mortality.national_extract(small.stat_rows.filter("not (Edad = '30 años' and Periodo = '2016')"), 2015, 2025)
+    with pytest.raises(ContractError, match="duplicate key"):
+        mortality.national_extract(small.stat_rows.unionAll(small.stat_rows.filter("Edad = '30 años' and Periodo = '2016'")), 2015, 2025)
+
+
+def test_sheets_and_layers_are_complete(spark):
+    letters = list(tables.SHEET_COLUMNS)
+    def sheet(*rows):
+        return spark.createDataFrame([("2015", n, c, v) for n, values in enumerate(rows) for c, v in zip(letters, values) if v is not None], "sheet string, row int, col string, value string")
+    counts = ["2", "1", "1", "2", "1", "1", "0", "0", "0", "0", "0", "0"]
+    city, section = ["City", None, *counts], [None, "01001", *counts]
+    assert tables.sheet_city(sheet(city, section), "City").count() == 1
+    assert tables.sheet_sections(sheet(city, section), "28079").head().section_id == "2807901001"
+    with pytest.raises(ContractError, match="coverage"):
+        tables.sheet_city(sheet(section), "City")
+    with pytest.raises(Exception, match="blank sheet count"):
+        tables.sheet_sections(sheet(city, [*section[:5], None, *section[6:]]), "28079").collect()
+    with pytest.raises(ContractError, match="duplicate key"):
+        tables.sheet_sections(sheet(city, section, section), "28079")
+    records = spark.createDataFrame([("1", "11"), ("1", "12")], "district string, barrio string")
+    assert layers.parent_layer(records, 2).count() == 2
+    for broken, found in ((records, 3), (records.limit(0), 2), (records.unionAll(records), 4)):
+        with pytest.raises(ContractError):
+            layers.parent_layer(broken, found)
