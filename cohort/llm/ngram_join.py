@@ -60,7 +60,6 @@ class Rule:
 
 SCREEN = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("c2", pa.int64())])
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("c2", pa.int64()), ("tokens", pa.binary()), ("loads", pa.binary())])
-TOKENS = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 CANDIDATES = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("least", pa.int32()), ("open", pa.bool_())])
 DIFFERENCES = pa.schema([("family", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("gone", pa.int32()), ("base", pa.int32()), ("added", pa.binary()), ("removed", pa.binary())])
 OPEN = 1 << 30  # the requirement of a document that no prefix serves
@@ -108,15 +107,16 @@ def sets_of(docs: DataFrame, rule: Rule) -> DataFrame:
     return over_batches(docs.select("doc_id", "text"), work, SETS)
 
 
-def _unpacked(sets: DataFrame) -> DataFrame:
+def _unpacked(sets: DataFrame, *more: str) -> DataFrame:
+    """A row for each shingle of ``tokens``: ``h``, ``doc_id`` and other long columns."""
+    names = ["doc_id", *more]
+
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
-            yield {
-                "h": np.frombuffer(b"".join(batch["tokens"]), dtype=np.int64),
-                "doc_id": np.repeat(np.array(batch["doc_id"], dtype=np.int64), [len(t) // 8 for t in batch["tokens"]]),
-            }
+            sizes = [len(t) // 8 for t in batch["tokens"]]
+            yield {"h": np.frombuffer(b"".join(batch["tokens"]), dtype=np.int64), **{n: np.repeat(np.array(batch[n], dtype=np.int64), sizes) for n in names}}
 
-    return over_batches(sets.select("doc_id", "tokens"), work, TOKENS)
+    return over_batches(sets.select(*names, "tokens"), work, pa.schema([("h", pa.int64()), *[(n, pa.int64()) for n in names]]))
 
 
 def _adapted(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -236,17 +236,14 @@ def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]
     return every, named.select("doc_id", "rep"), whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
 
 
-def _families(members: DataFrame) -> DataFrame:
-    """``doc_id, family``: documents that costly shingles connect; ``members`` has a document, a shingle and its first holder."""
-    edges = members.select(F.col("doc_id").alias("src"), F.col("_leader").alias("dst")).distinct()
-    found = components(edges.filter("src <> dst"), members.select(F.col("doc_id").alias("node")).distinct())
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The difference of each member from the centre of its family: the member that has most costly shingles for its size.
 
-def _differences(members: DataFrame, families: DataFrame, sets: DataFrame) -> DataFrame:
-    """The difference of each member from the centre of its family: the member that has most costly shingles for its size."""
-    share = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_dear"))
-    in_family = stage(families.join(share, "doc_id").join(sets.select("doc_id", "n"), "doc_id"))
+    A family is whoever holds a costly shingle with the same first holder; so two documents with a common costly shingle
+    meet in a family, and as most shingles of a group have the same first holder, a document is in few families.
+    """
+    share = members.groupBy("doc_id", F.col("_leader").alias("family")).agg(F.count(F.lit(1)).alias("_dear"))
+    in_family = stage(share.join(sets.select("doc_id", "n"), "doc_id"))
     centres = in_family.groupBy("family").agg(F.max(F.struct((F.col("_dear") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("id"))).alias("_top"))
     centre_sets = centres.select("family", (-F.col("_top.id")).alias("doc_id")).join(sets.select("doc_id", F.col("tokens").alias("centre")), "doc_id").drop("doc_id")
     joined = in_family.select("family", "doc_id").join(sets.select("doc_id", "n", "tokens"), "doc_id").join(centre_sets, "family")
@@ -279,8 +276,7 @@ def _by_differences(members: DataFrame, sets: DataFrame, rule: Rule) -> list[Dat
     p, q = rule.percent, 100 + rule.percent
     edges: list[DataFrame] = []
     for turn in range(ROUNDS):
-        families = stage(_families(members))
-        differences = stage(_differences(members, families, sets))
+        differences = stage(_differences(members, sets))
         values = differences.select("family", "doc_id", "n", (p * F.col("n") + q * F.col("gone")).cast("long").alias("f"), (q * F.col("base")).cast("long").alias("k"))
         first = values.groupBy("family").agg(F.min(F.struct("f", "doc_id")).alias("_first"))
         values = values.join(first, "family").withColumn("star", F.col("f") + F.col("_first.f") <= F.col("k"))
@@ -288,8 +284,8 @@ def _by_differences(members: DataFrame, sets: DataFrame, rule: Rule) -> list[Dat
         edges.append(values.filter("star and doc_id <> first").select(F.col("doc_id").alias("x"), F.col("first").alias("y")))
 
         def listed(column: str, among: DataFrame, differences: DataFrame = differences) -> DataFrame:
-            packed = differences.select("doc_id", F.col(column).alias("tokens"))
-            return _unpacked(packed).join(among, "doc_id")
+            packed = differences.select("doc_id", "family", F.col(column).alias("tokens"))
+            return _unpacked(packed, "family").join(among, ["doc_id", "family"])
 
         removed = listed("removed", values.filter(f"not star or {p} * n < least_f"))
         by_removed = _pairs(removed, ["family", "h"], rule, f"not (a.star and b.star) and a.f + {p} * b.n <= a.k and b.f + {p} * a.n <= a.k")
