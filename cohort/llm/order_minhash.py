@@ -110,7 +110,7 @@ def in_order(docs: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame
 
     dealt = docs.select("doc_id", "text", F.posexplode(places(F.col("doc_id").cast("string"))).alias("_guest", "_slice"))
     dealt = dealt.select("doc_id", "text", "_slice", (F.col("_guest") == 1).alias("_ahead"))
-    return dealt.repartition(len(inner) + 1, "_slice").sortWithinPartitions("_slice", "_ahead", "doc_id", F.xxhash64("text"))
+    return dealt.repartitionById(len(inner) + 1, "_slice").sortWithinPartitions("_slice", "_ahead", "doc_id", F.xxhash64("text"))
 
 
 def _neighbours(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
