@@ -9,7 +9,6 @@ texts are scored by products of presence matrices with it.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +24,11 @@ ORDERS = (1, 2, 3)
 COLUMNS = 1 << 13  # hashed n-grams of one order
 SAMPLE_PER_LANGUAGE = 256  # bound of the training sample; LANDMARKS of them are landmarks
 LANDMARKS = 32
+SAMPLE_SLICES = 16
 MOST_LABELS = 512
 RIDGE = 1e-2
 SCORED_AT_ONCE = 32
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint32(0x9E3779B1)
 
 
@@ -72,12 +71,13 @@ def _bits(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
 
 
 def sample(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """Packed presence sets of at most ``per_language`` rows of each language, those with the smallest hashes of their ids.
+    """Packed presence sets of about ``per_language`` rows of each language and no more, spread by the hashes of their ids.
 
-    The ids are chosen without reading texts; ranks are cut to the bound before rows of a language meet.
+    The ids are chosen without reading texts, by the smallest hashes of each of ``SAMPLE_SLICES`` slices of a language, so
+    that a language with most of the rows meets in no one task.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+    order = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_SLICES))).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    ids = labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max(1, per_language // SAMPLE_SLICES))
     ids = ids.select("doc_id", "lang").distinct()
     picked = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("bits", pa.binary())])
@@ -124,7 +124,7 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score"
 def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
     """The best language of each text and its score; ``und`` and 0 for a text that is null or has no letter."""
     names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    known = [n for n, t in enumerate(texts) if model.languages and t and _LETTER.search(t)]
+    known = [n for n, t in enumerate(texts) if model.languages and t and any(map(str.isalpha, t))]
     for at in range(0, len(known), SCORED_AT_ONCE):
         part = known[at : at + SCORED_AT_ONCE]
         flags = np.zeros((len(part), len(ORDERS), COLUMNS), dtype=bool)
