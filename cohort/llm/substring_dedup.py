@@ -53,6 +53,17 @@ def spread(places: np.ndarray, before: int, after: int, size: int) -> np.ndarray
     return np.cumsum(turns[:size]) > 0
 
 
+def _firsts(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Those of the places that have their hash first, so that a text which repeats itself sends each hash once."""
+    return np.sort(places[np.unique(hashes[places], return_index=True)[1]])
+
+
+def _equals(hashes: np.ndarray, places: list[int]) -> np.ndarray:
+    """All places with the hash of one of the given places."""
+    given = np.array(places, dtype=np.int64)
+    return np.flatnonzero(np.isin(hashes, hashes[given[given < len(hashes)]]))
+
+
 def _whole(words: np.ndarray) -> tuple[int, int]:
     """128 bits of the whole word sequence."""
     if not len(words):
@@ -94,8 +105,9 @@ def _rolling(candidates: DataFrame, window: int, blocks_only: bool) -> DataFrame
                 near = spread(np.flatnonzero(starts), 0, window - block, len(words) - block + 1)
                 if blocks_only:
                     near &= np.arange(len(near)) % block == 0
-                at = np.flatnonzero(near)
-                found.append(signed(window_hashes(words, block))[at])
+                hashes = window_hashes(words, block)
+                at = _firsts(hashes, np.flatnonzero(near))
+                found.append(signed(hashes)[at])
                 ids.append(np.full(len(at), doc_id))
                 places.append(at)
             yield {"h": np.concatenate(found), "doc_id": np.concatenate(ids), "pos": np.concatenate(places)}
@@ -112,9 +124,9 @@ def _passages(candidates: DataFrame, window: int) -> DataFrame:
             parts: list[list[np.ndarray]] = [[empty] for _ in PASSAGES]
             for doc_id, row, text, hits in zip(batch["doc_id"], batch["row"], batch["text"], batch["hits"], strict=True):
                 words = word_hashes(text or "")
-                at = np.flatnonzero(spread(np.array(hits, dtype=np.int64), window - window // 2, 0, len(words) - window + 1))
-                both = (signed(window_hashes(words, window, which))[at] for which in (0, 1))
-                for part, values in zip(parts, (*both, np.full(len(at), doc_id), np.full(len(at), row), at), strict=True):
+                block, first, second = window_hashes(words, window // 2), window_hashes(words, window), window_hashes(words, window, 1)
+                at = _firsts(first, np.flatnonzero(spread(_equals(block, hits), window - window // 2, 0, len(words) - window + 1)))
+                for part, values in zip(parts, (signed(first)[at], signed(second)[at], np.full(len(at), doc_id), np.full(len(at), row), at), strict=True):
                     part.append(values)
             yield {name: np.concatenate(part) for name, part in zip(PASSAGES.names, parts, strict=True)}
 
@@ -127,9 +139,10 @@ def _reduced(candidates: DataFrame, window: int) -> DataFrame:
             columns: list[list] = [[] for _ in REDUCED]
             for doc_id, text, starts in zip(batch["doc_id"], batch["text"], batch["starts"], strict=True):
                 words = (text or "").encode().split()
-                gone = spread(np.array(starts, dtype=np.int64), 0, window - 1, len(words))
+                hashes = word_hashes(text or "")
+                gone = spread(_equals(window_hashes(hashes, window), starts), 0, window - 1, len(words))
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                values = (doc_id, *_whole(word_hashes(text or "")), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+                values = (doc_id, *_whole(hashes), int(gone.sum()), hashlib.sha256(kept).hexdigest())
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
             yield dict(zip(REDUCED.names, columns, strict=True))
