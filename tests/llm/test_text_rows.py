@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -65,6 +66,64 @@ def test_license_labels(text, labels):
     assert [d[2] for d in licenses.detections(text)] == labels
 
 
+def _example(parts, rng):
+    """A text that the parsed pattern matches, with its alternatives and repeats drawn at random."""
+    out = ""
+    for op, value in parts:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "IN":
+            kind, first = rng.choice(value)
+            out += chr(first) if str(kind) == "LITERAL" else chr(rng.randint(*first)) if str(kind) == "RANGE" else {"CATEGORY_SPACE": " ", "CATEGORY_WORD": "w"}[str(first)]
+        elif name == "ANY":
+            out += "/"
+        elif name == "BRANCH":
+            out += _example(rng.choice(value[1]), rng)
+        elif name == "SUBPATTERN":
+            out += _example(value[-1], rng)
+        elif name == "MAX_REPEAT":
+            least, most, inner = value
+            out += "".join(_example(inner, rng) for _ in range(rng.randint(least, min(int(most), least + 2))))
+        else:
+            assert name == "ASSERT_NOT", name
+    return out
+
+
+def _ungated(text):
+    kept = []
+    for rule in licenses.rules():
+        for m in rule.pattern.finditer(text.lower()):
+            if not any(s <= m.start() and m.end() <= e for s, e, _, _ in kept):
+                kept.append((m.start(), m.end(), rule.label, rule.score))
+    return sorted(kept)
+
+
+def test_license_keywords_lose_no_hit_of_a_rule():
+    rng = random.Random(7)
+    for rule in licenses.rules():
+        for _ in range(6):
+            text = _example(re._parser.parse(rule.pattern.pattern), rng)
+            assert rule.pattern.search(text), (rule.pattern.pattern, text)
+            assert licenses.detections(text) == _ungated(text) != [], text
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("Released under MIT.", ["mit"]),
+    ("distributed under the BSD-3-Clause", ["bsd-3-clause"]),
+    ("available under ISC", ["isc"]),
+    ("provided under MS-PL, published under WTFPL", ["ms-pl", "wtfpl"]),
+    ("0BSD", ["bsd-0"]),
+    ("a note on MIT-0", ["mit-0"]),
+    ("x11", ["x11"]),
+    ("ECL 2.0 and AFL 3.0", ["ecl-2.0", "afl-3.0"]),
+    ("CC-0 1.0, CC 0", ["cc0-1.0", "cc0-1.0"]),
+    ("released under Open RAIL-M", ["openrail"]),
+])
+def test_license_labels_without_a_common_word(text, labels):
+    assert [d[2] for d in licenses.detections(text)] == labels
+
+
 def test_license_rows(spark):
     got = rows_of(licenses.scan_licenses(documents(spark, [*ODD, (9, "The MIT-License; the Apache\nlicense, mit license")], extra=True)))
     row = next(r for r in got if r[0] == 9)
