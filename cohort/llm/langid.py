@@ -121,10 +121,14 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, landmarks: int
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
     """The best language of each text and its score; ``und`` and 0 for a text that is null or has no letter."""
     names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    known = [n for n, t in enumerate(texts) if model.languages and t and any(map(str.isalpha, t))]
+    known = [n for n, t in enumerate(texts) if model.languages and has_letter(t)]
     for at in range(0, len(known), SCORED_AT_ONCE):
         part = known[at : at + SCORED_AT_ONCE]
         flags = np.zeros((len(part), len(ORDERS), COLUMNS), dtype=bool)
@@ -153,15 +157,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_determined(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a language; one pass, no shuffle."""
+    """The rows of ``docs``, all columns as they are, whose text has a language; one pass, no shuffle.
+
+    Only null texts and texts without a letter go. Scores never reject: a text with a letter is given the best language, and
+    it stays as well when the model knows no language, since then nothing speaks against it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                names, _ = score_texts(part.column("text").to_pylist(), shared.value)
-                yield part.filter(pa.array([name != UNDETERMINED for name in names]))
+                texts = part.column("text").to_pylist()
+                if shared.value.languages:
+                    keep = [name != UNDETERMINED for name in score_texts(texts, shared.value)[0]]
+                else:
+                    keep = [has_letter(text) for text in texts]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 

@@ -14,7 +14,10 @@ NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose language can be told stay; the model learns from the labelled rows of this stage's own input."""
+    """Documents whose text holds a letter stay, whatever their scores and also where no row has a label.
+
+    The model learns from the labelled rows of this stage's own input.
+    """
     return langid.keep_determined(docs, langid.fit(docs))
 
 

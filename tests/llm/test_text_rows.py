@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from cohort.llm import langid, licenses, packing, pii, token_counts
+from cohort.llm import langid, licenses, packing, pii, stages, token_counts
 from cohort.llm.tokens import VOCABULARY, encoder, vocabulary_path
 from tests.llm.helpers import documents, rows_of
 
@@ -244,3 +244,10 @@ def test_language_edge_cases(spark):
     assert langid.keep_determined(table, model).count() == 5
     empty = langid.fit(table.limit(0))
     assert {r["lang_pred"] for r in langid.predict(table, empty).collect()} == {"und"}
+
+
+def test_documents_stay_when_no_row_has_a_label(spark):
+    rows = [(1, "the words", None), (2, None, None), (3, "", None), (4, "12 !?", None), (None, "é", None), (6, "слово", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["text"] for r in stages.language_id(spark, table, "").collect()) == ["the words", "é", "слово"]
+    assert stages.language_id(spark, table.limit(0), "").count() == 0
