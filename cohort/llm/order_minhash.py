@@ -82,8 +82,8 @@ SCHEMA = pa.schema([
 def in_order(docs: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """``doc_id, text`` with ``_slice`` and ``_ahead``: slices of the id range, each followed by the head of the next one.
 
-    Slices are cut at ids that approximate quantiles name; their number follows the rows, up to a bound, which also bounds
-    the list of cuts. The head of a slice goes to the slice before it as well, as a guest (``_ahead``), and the first of all
+    Slices are cut near approximate quantiles, which are doubles and need not be ids, and then begin at the least id that each
+    of them holds; their number follows the rows, up to a bound, which also bounds the list of cuts. The head of a slice goes to the slice before it as well, as a guest (``_ahead``), and the first of all
     to the last slice. So every document meets its successor in one shuffle, and no task sorts more than its slices.
     """
     docs = texts_of(docs)
@@ -91,7 +91,14 @@ def in_order(docs: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame
     row = ids.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.min("doc_id").alias("least")).first()
     slices = min(MOST_SLICES, max(FEWEST_SLICES, row["n"] // rows_per_slice))
     cuts = ids.approxQuantile("doc_id", [n / slices for n in range(1, slices)], 0.2 / slices) if row["known"] else []
-    inner = sorted({int(c) for c in cuts} - {row["least"]})
+    rough = np.array(sorted({min(int(c), 2**63 - 1) for c in cuts}), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def part(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(rough, ids.to_numpy(dtype=np.int64), side="right").astype(np.int32))
+
+    heads = ids.filter("doc_id is not null").groupBy(part("doc_id").alias("_part")).agg(F.min("doc_id").alias("head"))
+    inner = sorted({r["head"] for r in heads.collect()} - {row["least"]})
     first = None if row["known"] < row["n"] else row["least"]
     shared = docs.sparkSession.sparkContext.broadcast(np.array(inner, dtype=np.int64))
 

@@ -95,6 +95,18 @@ def test_neighbours_in_order_of_ids(spark):
         assert rows_of(order_minhash.fingerprint_neighbours(documents(spark, rows, extra=True), 10)) == sorted(expected, key=repr)
 
 
+def test_neighbours_of_ids_that_doubles_cannot_name(spark):
+    rng = random.Random(12)
+    for base, step in ((2**62, 1_000), (-(2**62), 1_000), (2**62, 2**47), (2**63 - 400_000, 1_000)):
+        rows = [(base + n * step + rng.randrange(step), f"w{n} " * 3) for n in range(400)]
+        expected = {}
+        for (doc_id, text), (_, following) in zip(rows, [*rows[1:], rows[0]], strict=True):
+            half = len(text) // 2
+            expected[doc_id] = hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
+        got = order_minhash.fingerprint_neighbours(documents(spark, rows), 10).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: r["edited_sha256"] for r in got} == expected
+
+
 def test_neighbours_of_repeated_and_missing_ids(spark):
     rows = [(None, "x y z"), (None, "y"), (3, "a b c d"), (3, "a b c d"), (3, "q"), (9, "zz top")]
     got = order_minhash.fingerprint_neighbours(documents(spark, rows), 1).collect()
