@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohort.llm import decontaminate, langid, licenses, line_dedup, ngram_join, order_minhash, packing, pii, substring_dedup, token_counts
+from cohort.llm import (
+    decontaminate, langid, lexical_search, licenses, line_dedup, ngram_join, order_minhash, packing, pii, substring_dedup, token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,3 +185,38 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = langid.fit(docs.filter(~langid.held_out()))
     return langid.predict(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
+OP13_SQL = r"""
+with asked as (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark
+), words as (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from documents
+), sizes as (
+    select doc_id, count(*) as n from words group by doc_id
+), totals as (
+    select count(*) as docs, cast(sum(n) as bigint) as terms from sizes
+), postings as (
+    select doc_id, term, count(*) as tf from words where term in (select term from asked) group by doc_id, term
+), weights as (
+    select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+    from postings cross join totals group by term
+), gains as (
+    select p.doc_id, p.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))) as gain
+    from postings p join sizes s on p.doc_id = s.doc_id join weights x on p.term = x.term cross join totals
+), scored as (
+    select a.item_id, g.doc_id, cast(sum(gain) as bigint) as score from asked a join gains g on a.term = g.term group by a.item_id, g.doc_id
+), ranked as (
+    select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@_query("op13_lexical_search", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
