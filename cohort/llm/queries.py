@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohort.llm import (
-    decontaminate, langid, lexical_search, licenses, line_dedup, ngram_join, order_minhash, packing, periodic_runs, pii, substring_dedup,
+    context_mixing, decontaminate, langid, lexical_search, licenses, line_dedup, ngram_join, order_minhash, packing, periodic_runs, pii, substring_dedup,
     token_counts,
 )
 
@@ -188,6 +188,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@_query("op11_context_mixing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return context_mixing.score_texts(_table(spark, folder, "documents"))
+
+
 @_query("op12_periodic_runs")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.digest_runs(_table(spark, folder, "documents"))
