@@ -99,9 +99,9 @@ def ring_signs(vertices: DataFrame) -> DataFrame:
     return _rings(vertices).select(*RING, (-_weight()).alias("sign"))
 
 
-def candidates(left: DataFrame, right: DataFrame, *, unit: float = 1.0) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of polygons whose boxes overlap with positive area: ``a, b`` and the shared box."""
-    met = overlap_join(boxes(left), boxes(right), [], unit=unit)
+    met = overlap_join(boxes(left), boxes(right), [])
     out = met.select(
         F.col("l_id").alias("a"), F.col("r_id").alias("b"),
         F.greatest("l_x0", "r_x0").alias("x0"), F.least("l_x1", "r_x1").alias("x1"),
@@ -111,7 +111,7 @@ def candidates(left: DataFrame, right: DataFrame, *, unit: float = 1.0) -> DataF
     return out.filter("x1 > x0 and y1 > y0")
 
 
-def _pair_edges(pairs: DataFrame, side: str, layer: DataFrame, unit: float) -> DataFrame:
+def _pair_edges(pairs: DataFrame, side: str, layer: DataFrame) -> DataFrame:
     """Edges of one side cut to the x-range of each pair they matter to, measured from its corner."""
     e = edges(layer).filter("xa <> xb")
     e = e.select(
@@ -121,7 +121,7 @@ def _pair_edges(pairs: DataFrame, side: str, layer: DataFrame, unit: float) -> D
         ((F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))).alias("slope"),
         F.when(F.col("xa") < F.col("xb"), 1.0).otherwise(-1.0).alias("turn"),
     )
-    met = overlap_join(pairs.select("a", "b", "x0", "x1", "base"), e, [side], ("x",), unit=unit)
+    met = overlap_join(pairs.select("a", "b", "x0", "x1", "base"), e, [side], ("x",))
     low, high = F.greatest("l_x0", "r_x0"), F.least("l_x1", "r_x1")
     at = F.col("r_y_low") + (low - F.col("r_x0")) * F.col("r_slope") - F.col("l_base")
     return met.filter(low < high).select(
@@ -152,7 +152,7 @@ def _pieces(met: DataFrame) -> DataFrame:
     return d.withColumn("piece", F.col("l_turn") * F.col("r_turn") * F.col("width") * mean)
 
 
-def intersections(left: DataFrame, right: DataFrame, pairs: DataFrame | None = None, *, unit: float = 1.0) -> DataFrame:
+def intersections(left: DataFrame, right: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """``(a, b, area)`` for each candidate pair, exact for simple polygons with holes.
 
     A polygon is the signed sum of the strips under its edges, so the overlap is the signed sum,
@@ -161,9 +161,9 @@ def intersections(left: DataFrame, right: DataFrame, pairs: DataFrame | None = N
     the product of two boundaries. Ring signs are applied after the sums, on one row per ring pair.
     """
     left, right = prepared(left), prepared(right)
-    found = stage(candidates(left, right, unit=unit) if pairs is None else pairs)
-    ea, eb = _pair_edges(found, "a", left, unit), _pair_edges(found, "b", right, unit)
-    met = overlap_join(ea, eb, ["a", "b"], ("x",), unit=unit)
+    found = stage(candidates(left, right) if pairs is None else pairs)
+    ea, eb = _pair_edges(found, "a", left), _pair_edges(found, "b", right)
+    met = overlap_join(ea, eb, ["a", "b"], ("x",))
     rings = (
         _pieces(met)
         .groupBy(
@@ -179,37 +179,37 @@ def intersections(left: DataFrame, right: DataFrame, pairs: DataFrame | None = N
     return signed.groupBy("a", "b").agg(F.sum(F.col("sign_a") * F.col("sign_b") * F.col("area")).alias("area"))
 
 
-def overlaps(old: DataFrame, new: DataFrame, *, unit: float = 1.0) -> DataFrame:
+def overlaps(old: DataFrame, new: DataFrame) -> DataFrame:
     """Every pair with its area, both polygon areas and the two shares."""
     old, new = prepared(old), prepared(new)
     a = areas(old).select(F.col("id").alias("a"), F.col("area").alias("area_a"))
     b = areas(new).select(F.col("id").alias("b"), F.col("area").alias("area_b"))
-    joined = intersections(old, new, unit=unit).join(a, "a").join(b, "b")
+    joined = intersections(old, new).join(a, "a").join(b, "b")
     return joined.select(
         F.col("a").alias("old_id"), F.col("b").alias("new_id"), "area", "area_a", "area_b",
         divide(F.col("area"), F.col("area_a")).alias("old_share"), divide(F.col("area"), F.col("area_b")).alias("new_share"),
     )
 
 
-def self_overlaps(layer: DataFrame, tolerance: float = 1e-3, *, unit: float = 1.0) -> DataFrame:
+def self_overlaps(layer: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """Pairs of one layer that overlap by more than the tolerated share of the smaller polygon."""
     layer = prepared(layer)
-    pairs = candidates(layer, layer, unit=unit).filter("a < b")
+    pairs = candidates(layer, layer).filter("a < b")
     size = areas(layer)
-    met = intersections(layer, layer, pairs, unit=unit)
+    met = intersections(layer, layer, pairs)
     met = met.join(size.toDF("a", "area_a"), "a").join(size.toDF("b", "area_b"), "b")
     limit = tolerance * F.least("area_a", "area_b")
     return met.filter(F.col("area") > limit).select("a", "b", F.col("area").alias("overlap_area"))
 
 
-def topology(layer: DataFrame, municipality: DataFrame, *, unit: float = 1.0) -> DataFrame:
+def topology(layer: DataFrame, municipality: DataFrame) -> DataFrame:
     """One row: union area, gap inside and area outside the enclosing polygon.
 
     The union is the sum of the areas, which holds once :func:`self_overlaps` is empty.
     """
     layer, municipality = prepared(layer), prepared(municipality)
     total = areas(layer).agg(F.sum("area").alias("union_area"), F.count(F.lit(1)).alias("polygons"))
-    inside = intersections(layer, municipality, unit=unit).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("inside"))
+    inside = intersections(layer, municipality).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("inside"))
     outer = areas(municipality).agg(F.sum("area").alias("outer"))
     return total.withColumn("inside", inside.scalar()).withColumn("outer", outer.scalar()).select(
         "polygons", "union_area",
@@ -218,7 +218,7 @@ def topology(layer: DataFrame, municipality: DataFrame, *, unit: float = 1.0) ->
     )
 
 
-def validity(vertices: DataFrame, *, unit: float = 1.0) -> DataFrame:
+def validity(vertices: DataFrame) -> DataFrame:
     """Per polygon: open rings, flat rings and proper edge crossings; valid when none occur."""
     v = with_part(vertices)
     ends = v.groupBy(*RING).agg(
@@ -231,7 +231,7 @@ def validity(vertices: DataFrame, *, unit: float = 1.0) -> DataFrame:
         "x0": F.least("xa", "xb"), "x1": F.greatest("xa", "xb"), "y0": F.least("ya", "yb"), "y1": F.greatest("ya", "yb"),
     })
     e = e.withColumn("key", F.struct("part", "ring", "seq"))
-    met = overlap_join(e, e.select("id", "key", "xa", "ya", "xb", "yb", "x0", "x1", "y0", "y1"), ["id"], unit=unit)
+    met = overlap_join(e, e.select("id", "key", "xa", "ya", "xb", "yb", "x0", "x1", "y0", "y1"), ["id"])
 
     def side(o: str, p: str, q: str) -> Column:
         x, y = F.col(f"{q[0]}_x{q[1]}"), F.col(f"{q[0]}_y{q[1]}")

@@ -1,65 +1,156 @@
-"""Overlap joins of boxes and intervals on a grid of several cell sizes.
+"""Overlap joins of boxes and intervals on a partition of the plane that is learnt from the data.
 
-An item belongs to the level whose cell is just larger than the item, so it touches at most two
-cells per axis there. To meet partners of every size it is also registered in the coarser levels,
-where its partners are the few items of about that size. Keys therefore stay short lists whether
-the layer is dense, sparse or mixed, and no cell pairs up all of its members with each other.
+A bounded sample of both sides gives cuts along the first axis, between them cuts along the second, so that every leaf holds
+about the same number of items however dense or sparse the layer is and whatever its unit. A leaf with many items is divided
+further by a regular grid of its own. Items are dealt to every cell they touch. Cuts and grids stay coarse enough that the
+items of the sample touch few cells on average; an item that is much larger than the others touches more, but then it also
+meets what is in those cells. A pair that meets in several cells is kept in the one that holds the low corner of its overlap.
+
+The sample only balances the work: the pairs are exact for any partition.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-STEP, TOP = 4.0, 13
+SAMPLE = 4096
+ITEMS_IN_CELL = 64
+MOST_CUTS = {1: 127, 2: 31}  # along each axis, by the number of axes
+SPREAD = 1.25  # parts that an item touches, on average, along an axis, of the cuts and of the grid
+
+Extent = tuple[tuple[float, float], ...]
+
+
+@dataclass(frozen=True)
+class Partition:
+    """Cuts along the first axis; between them those along the second, if there is one; and the leaves' grids.
+
+    ``leaves`` has for each leaf, axis by axis: its open bounds, the low end and the side of its grid, and the cells along it.
+    """
+
+    cuts: list[list[float]]  # of the only or last axis, one list for each part along the first
+    first: list[float]  # of the first of two axes
+    leaves: list[list[list[float]]]
+
+    @staticmethod
+    def whole(axes: int) -> Partition:
+        return Partition([[]], [], [[[-math.inf, math.inf, 0.0, 1.0, 1.0] * axes]])
+
+
+def _cuts(extents: list[tuple[float, float]], parts: int) -> list[float]:
+    """Quantiles of the middles, as many as keep the extents' mean number of parts within ``SPREAD``."""
+    middles = sorted((a + b) / 2 for a, b in extents)
+    while parts > 1:
+        cuts = sorted({middles[len(middles) * k // parts] for k in range(1, parts)})
+        if sum(sum(a < c <= b for c in cuts) for a, b in extents) <= (SPREAD - 1) * len(extents):
+            return cuts
+        parts //= 2
+    return []
+
+
+def _grid(extents: list[tuple[float, float]], low: float, high: float, cells: float) -> list[float]:
+    inside = [(max(a, low), min(b, high)) for a, b in extents]
+    low, high = max(low, min(a for a, _ in inside)), min(high, max(b for _, b in inside))
+    mean = sum(b - a for a, b in inside) / len(inside)
+    most = (SPREAD - 1) * (high - low) / mean if mean > 0 else math.inf
+    k = max(1.0, math.floor(min(cells, most))) if high > low else 1.0
+    return [low, (high - low) / k or 1.0, k]
 
 
-def _level(axes: Sequence[str], unit: float) -> Column:
-    """Smallest level whose cell side reaches the longest extent of the item."""
-    spans = [F.col(f"{a}1") - F.col(f"{a}0") for a in axes]
-    extent = F.greatest(*spans) if len(spans) > 1 else spans[0]
-    raw = F.ceil(F.log(STEP, F.greatest(extent, F.lit(unit)) / unit))
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(TOP)).cast("int")
+def learn(sample: list[Extent], rows: int, axes: int) -> Partition:
+    """The partition for ``rows`` items, of which the sample is a part."""
+    share = rows / max(1, len(sample))
+    wanted = rows / ITEMS_IN_CELL
+    if wanted <= 4 or not sample:
+        return Partition.whole(axes)
 
+    def between(low: list[float], part: int) -> tuple[float, float]:
+        return (low[part - 1] if part else -math.inf, low[part] if part < len(low) else math.inf)
 
-def _register(df: DataFrame, axes: Sequence[str], unit: float, entries: Column) -> DataFrame:
-    out = df.withColumn("_entry", F.explode(entries)).withColumn("_side", F.pow(F.lit(STEP), F.col("_entry.level")) * unit)
-    for a in axes:
-        low, high = F.floor(F.col(f"{a}0") / F.col("_side")), F.floor(F.col(f"{a}1") / F.col("_side"))
-        out = out.withColumn(f"_cell_{a}", F.explode(F.sequence(low, high)))
-    return out
+    def met(items: list[Extent], axis: int, bounds: tuple[float, float]) -> list[Extent]:
+        return [e for e in items if e[axis][0] < bounds[1] and e[axis][1] >= bounds[0]]
 
+    first = _cuts([e[0] for e in sample], min(MOST_CUTS[2] + 1, math.ceil(math.sqrt(wanted)))) if axes == 2 else []
+    cuts, leaves = [], []
+    for part in range(len(first) + 1):
+        outer = between(first, part)
+        items = met(sample, 0, outer) if axes == 2 else sample
+        own = _cuts([e[-1] for e in items], max(1, min(MOST_CUTS[axes] + 1, math.ceil(len(items) * share / ITEMS_IN_CELL)))) if items else []
+        cuts.append(own)
+        row = []
+        for k in range(len(own) + 1):
+            bounds = [outer, between(own, k)] if axes == 2 else [between(own, k)]
+            held = met(items, axes - 1, bounds[-1])
+            cells = (len(held) * share / ITEMS_IN_CELL) ** (1 / axes)
+            row.append([x for axis, b in enumerate(bounds) for x in (*b, *(_grid([e[axis] for e in held], *b, cells) if held else (0.0, 1.0, 1.0)))])
+        leaves.append(row)
+    return Partition(cuts, first, leaves)
 
-def _entries(role: str, levels: Column) -> Column:
-    return F.transform(levels, lambda n: F.struct(F.lit(role).alias("role"), n.alias("level")))
 
+def _number(x: float) -> str:
+    return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
 
-def overlap_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], axes: Sequence[str] = ("x", "y"), *, unit: float = 1.0
-) -> DataFrame:
+
+def _array(items: list[str], kind: str) -> str:
+    return f"array({', '.join(items)})" if items else f"cast(array() as array<{kind}>)"
+
+
+def _part(cuts: str, value: str) -> str:
+    return f"size(filter({cuts}, c -> c <= {value}))"
+
+
+def deal(df: DataFrame, axes: Sequence[str], partition: Partition) -> DataFrame:
+    """The rows once for each cell they touch: ``_part_*`` and ``_cell_*`` name it, ``_leaf`` describes its leaf."""
+    df = df.dropna(subset=[f"{a}{k}" for a in axes for k in (0, 1)])
+    last = _array([_array([_number(c) for c in own], "double") for own in partition.cuts], "array<double>")
+    if len(axes) == 2:
+        first = _array([_number(c) for c in partition.first], "double")
+        df = df.withColumn("_part_0", F.explode(F.expr(f"sequence({_part(first, f'{axes[0]}0')}, {_part(first, f'{axes[0]}1')})")))
+    else:
+        df = df.withColumn("_part_0", F.lit(0))
+    own = f"element_at({last}, _part_0 + 1)"
+    df = df.withColumn("_part_1", F.explode(F.expr(f"sequence({_part(own, f'{axes[-1]}0')}, {_part(own, f'{axes[-1]}1')})")))
+    leaves = _array([_array([_array([_number(x) for x in leaf], "double") for leaf in row], "array<double>") for row in partition.leaves], "array<array<double>>")
+    df = df.withColumn("_leaf", F.expr(f"element_at(element_at({leaves}, _part_0 + 1), _part_1 + 1)"))
+    for n, a in enumerate(axes):
+        df = df.withColumn(f"_cell_{n}", F.explode(F.sequence(_cell(n, F.col(f"{a}0")), _cell(n, F.col(f"{a}1")))))
+    return df
+
+
+def _cell(axis: int, value: Column, leaf: str = "_leaf") -> Column:
+    low, side, cells = (F.get(leaf, F.lit(5 * axis + k)) for k in (2, 3, 4))
+    return F.least(F.greatest(F.floor((value - low) / side), F.lit(0)), cells.cast("bigint") - 1)
+
+
+def _sampled(left: DataFrame, right: DataFrame, axes: Sequence[str]) -> tuple[list[Extent], int]:
+    """At most ``SAMPLE`` extents of both sides and the number of all, from one job."""
+    ends = [f"{a}{k}" for a in axes for k in (0, 1)]
+    seen = Observation()
+    both = left.select(*ends).unionByName(right.select(*ends)).observe(seen, F.count(F.lit(1)).alias("rows"))
+    picked = both.dropna().orderBy(F.rand(7)).limit(SAMPLE).collect()
+    return [tuple((float(r[2 * n]), float(r[2 * n + 1])) for n in range(len(axes))) for r in picked], seen.get["rows"]
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], axes: Sequence[str] = ("x", "y")) -> DataFrame:
     """Pairs with equal ``keys`` whose closed extents overlap on every axis.
 
-    Both sides carry ``{axis}0`` and ``{axis}1``; all columns come back prefixed ``l_`` and
-    ``r_``. A pair met in several cells is kept in the one holding the low corner of its overlap.
+    Both sides carry ``{axis}0`` and ``{axis}1`` with ``{axis}0 <= {axis}1``; all columns come back prefixed ``l_`` and
+    ``r_``. Rows without an end have no extent and meet nothing. The sides are read twice, so pass cheap or written ones.
     """
-    own = F.col("_own")
-    up = F.sequence(own, F.lit(TOP))
-    above = F.slice(up, F.lit(2), F.lit(TOP))
-    # "down": the partner on the right is as coarse or coarser; "up": the left item is coarser.
-    sides = (
-        (left, "l_", F.concat(_entries("down", up), _entries("up", F.array(own)))),
-        (right, "r_", F.concat(_entries("down", F.array(own)), _entries("up", above))),
-    )
-    shared = [*keys, "_entry", *[f"_cell_{x}" for x in axes]]
+    partition = learn(*_sampled(left, right, axes), len(axes))
+    places = ["_part_0", "_part_1", *[f"_cell_{n}" for n in range(len(axes))]]
     lhs, rhs = (
-        _register(df.withColumn("_own", _level(axes, unit)), axes, unit, entries).select(
-            *shared, *(["_side"] if prefix == "l_" else []), *[F.col(c).alias(prefix + c) for c in df.columns])
-        for df, prefix, entries in sides
+        deal(df, axes, partition).select(*keys, *places, *(["_leaf"] if prefix == "l_" else []), *[F.col(c).alias(prefix + c) for c in df.columns])
+        for df, prefix in ((left, "l_"), (right, "r_"))
     )
-    met = lhs.join(rhs, shared)
-    for x in axes:
+    met = lhs.join(rhs, [*keys, *places])
+    for n, x in enumerate(axes):
         low = F.greatest(f"l_{x}0", f"r_{x}0")
-        met = met.filter((low <= F.least(f"l_{x}1", f"r_{x}1")) & (F.floor(low / F.col("_side")) == F.col(f"_cell_{x}")))
+        here = (low >= F.get("_leaf", F.lit(5 * n))) & (low < F.get("_leaf", F.lit(5 * n + 1))) & (_cell(n, low) == F.col(f"_cell_{n}"))
+        met = met.filter((low <= F.least(f"l_{x}1", f"r_{x}1")) & here)
     return met.select(*[f"l_{c}" for c in left.columns], *[f"r_{c}" for c in right.columns])

@@ -1,6 +1,8 @@
 """Areas, overlaps, components and weights against shapes with known answers."""
 
+import bisect
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +216,47 @@ def test_geojson_file_to_vertices(spark, tmp_path):
         layers.vertices(features.withColumn("kind", F.lit("Point")), "area_id").collect()
     with pytest.raises(Exception, match="duplicate key"):
         layers.checked_layer(features.unionByName(features), "area_id")
+
+
+def random_boxes(rng, n, scale, clustered):
+    out = []
+    for k in range(n):
+        far = 1.0 if not clustered or rng.random() < 0.3 else 0.01
+        x, y = rng.random() * scale * far, rng.random() * scale * far
+        size = scale / math.sqrt(n) * far * rng.random() * (30 if k % 500 == 0 else 1)
+        out.append((f"i{k}", x, y, x + size, y + size * rng.random()))
+    return out
+
+
+@pytest.mark.parametrize("scale, clustered", [(100_000.0, False), (1.0, False), (1e-3, True)])
+def test_overlap_keys_stay_small_in_any_unit(spark, scale, clustered):
+    rng = random.Random(5)
+    boxes = spark.createDataFrame(random_boxes(rng, 20_000, scale, clustered), "id string, x0 double, y0 double, x1 double, y1 double")
+    partition = spatial.learn(*spatial._sampled(boxes, boxes, ("x", "y")), 2)
+    dealt = spatial.deal(boxes, ("x", "y"), partition)
+    largest = dealt.groupBy("_part_0", "_part_1", "_cell_0", "_cell_1").count().agg(F.max("count").alias("most"), F.sum("count").alias("rows")).head()
+    assert largest.most <= 200 and largest.rows < 4 * 20_000
+
+
+def test_overlap_join_of_many_boxes_equals_brute_force(spark):
+    for scale, clustered in ((1000.0, False), (1e-3, True)):
+        boxes = random_boxes(random.Random(8), 2500, scale, clustered) + [("same", 0.1 * scale, 0.1 * scale, 0.2 * scale, 0.2 * scale)] * 40
+        df = spark.createDataFrame(boxes, "id string, x0 double, y0 double, x1 double, y1 double")
+        holes = df.unionByName(spark.createDataFrame([("none", None, 0.0, 1.0, 1.0)], df.schema))
+        got = spatial.overlap_join(df, holes, []).groupBy("l_id", "r_id").count().collect()
+        import duckdb
+
+        plain = duckdb.connect()
+        plain.register("b", df.toPandas())
+        expected = plain.execute("select a.id, b.id, count(*) from b a join b on a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1 group by all").fetchall()
+        assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_interval_join_with_keys_equals_brute_force(spark):
+    rng = random.Random(2)
+    rows_ = [(rng.choice("aaaab"), n, x := rng.random() * 50, x + rng.random() ** 4 * 20) for n in range(3000)]
+    df = spark.createDataFrame(rows_, "k string, n int, x0 double, x1 double")
+    got = spatial.overlap_join(df, df, ["k"], ("x",)).groupBy("l_n").count().collect()
+    starts, ends = ({k: sorted(r[c] for r in rows_ if r[0] == k) for k in "ab"} for c in (2, 3))
+    expected = {n: bisect.bisect_right(starts[k], b) - bisect.bisect_left(ends[k], a) for k, n, a, b in rows_}
+    assert dict(map(tuple, got)) == expected
