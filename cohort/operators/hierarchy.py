@@ -1,17 +1,84 @@
-"""Geography trees as adjacency lists: closure, guards, roll-up and quality inheritance."""
+"""Geography trees as adjacency lists: jumps, intervals, closure, guards, roll-up and quality inheritance.
+
+What climbs the tree does so by jumps of doubling length: after the round with jumps of 2**k parents, an area's total covers
+all areas less than 2**(k+1) below it. So a tree of any depth takes a logarithmic number of rounds, no round gives a row more
+than one copy, and no row per area and ancestor is ever made.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohort.contracts import must_fail
+from cohort.contracts import ContractError, must_fail
 from cohort.functions.expressions import divide, rank_status, status_rank
+from cohort.operators.ordering import row_numbers
 from cohort.operators.staging import stage
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Written tables ``(area_id, up)``: step k leads 2**k parents up. Step 0 has every area, with no ``up`` at a root."""
+
+    steps: tuple[DataFrame, ...]
+
+    @property
+    def areas(self) -> DataFrame:
+        return self.steps[0].select("area_id")
+
+
+def tree(geographies: DataFrame) -> Tree:
+    """The jumps of a parent table. An unknown parent or a cycle fails."""
+    nodes = geographies.select("area_id", "parent_id")
+    known = nodes.select(F.col("area_id").alias("parent_id"), F.lit(True).alias("_known")).distinct()
+    up = F.when(F.col("parent_id").isNotNull() & F.col("_known").isNull(), must_fail("unknown parent")).otherwise(F.col("parent_id"))
+    steps = [stage(nodes.join(known, "parent_id", "left").select("area_id", up.alias("up")))]
+    most = steps[0].count().bit_length()
+    while True:
+        last = steps[-1]
+        further = stage(last.filter("up is not null").join(last.select(F.col("area_id").alias("up"), F.col("up").alias("_up")), "up").filter("_up is not null").select("area_id", F.col("_up").alias("up")))
+        if further.isEmpty():
+            return Tree(tuple(steps))
+        if len(steps) > most:  # a path without a cycle is no longer than there are areas
+            raise ContractError("parent cycle")
+        steps.append(further)
+
+
+def lift(rows: DataFrame, tree_: Tree, keys: Sequence[str], aggregates: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """Aggregate the columns of ``area_id`` rows over each area and all below it; areas without rows below have none.
+
+    Aggregates must be such that totals can be aggregated again: sums, minima, maxima. An id outside the tree fails the job.
+    """
+    totals = [f(c).alias(c) for c, f in aggregates.items()]
+    for n, step in enumerate(tree_.steps):
+        to = step.select("area_id", F.col("up").alias("_up"), F.lit(True).alias("_known"))
+        own = F.col("area_id") if n else F.when(F.col("_known"), F.col("area_id")).otherwise(must_fail("population contains unknown geographies"))
+        targets = F.explode(F.when(F.col("_up").isNull(), F.array(own)).otherwise(F.array(own, "_up")))
+        rows = rows.join(to, "area_id", "left").select(targets.alias("area_id"), *keys, *aggregates).groupBy("area_id", *keys).agg(*totals)
+    return rows
+
+
+def intervals(tree_: Tree) -> DataFrame:
+    """``(area_id, low, high, depth)``: places in preorder, children by id. An area's subtree is the places from low to high.
+
+    So whether one area lies in another is a comparison of numbers, and a subtree is a range of a table sorted by place.
+    """
+    kin = F.coalesce(F.concat(F.lit("+"), "up"), F.lit(""))
+    sized = lift(tree_.areas.withColumn("n", F.lit(1).cast("bigint")), tree_, [], {"n": F.sum}).join(tree_.steps[0], "area_id")
+    placed = row_numbers(stage(sized.withColumn("kin", kin)), ["kin"], [F.col("area_id")], name="_upto", weight="n")
+    # A place is the sum, over the area and all above it, of the places taken by elder siblings' subtrees and by the parent.
+    child = F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint")
+    at = stage(placed.select("area_id", "n", (F.col("_upto") - F.col("n") + child).alias("low"), child.alias("depth")))
+    for step in tree_.steps:
+        above = at.select(F.col("area_id").alias("up"), F.col("low").alias("_low"), F.col("depth").alias("_depth"))
+        more = step.filter("up is not null").join(above, "up").drop("up")
+        at = stage(at.join(more, "area_id", "left").select("area_id", "n", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("low", "depth")]))
+    return at.select("area_id", "low", (F.col("low") + F.col("n") - 1).alias("high"), "depth")
+
+
 def closure(geographies: DataFrame) -> DataFrame:
     """``(area_id, ancestor_id, depth)`` for every area and each ancestor, itself included.
 
@@ -57,27 +124,20 @@ def unreachable(geographies: DataFrame) -> DataFrame:
     return at.filter("lost or up is not null").select("area_id", label.alias("problem"))
 
 
-def mixed_grain(leaves: DataFrame, closure_: DataFrame) -> DataFrame:
+def mixed_grain(leaves: DataFrame, tree_: Tree) -> DataFrame:
     """Populated areas that are proper ancestors of other populated areas; must be empty."""
     ids = leaves.select("area_id").distinct()
-    above = closure_.filter("depth > 0").join(ids, "area_id", "left_semi").select(F.col("ancestor_id").alias("area_id")).distinct()
-    return ids.join(above, "area_id", "left_semi")
+    below = lift(ids.withColumn("n", F.lit(1).cast("bigint")), tree_, [], {"n": F.sum})
+    return ids.join(below.filter("n > 1"), "area_id", "left_semi")
 
 
-def roll_up(facts: DataFrame, closure_: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Sum additive measures of ``geography_id`` rows into every ancestor (``area_id``).
+def roll_up(facts: DataFrame, tree_: Tree, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Sum additive measures of ``geography_id`` rows into every area and its ancestors (``area_id``).
 
-    The sums are combined on the map side, so the root key costs one row per task and group.
-    An id outside the tree fails the job.
+    The sums are combined on the map side, so the root key costs one row per task and group. An id outside the tree fails
+    the job.
     """
-    up = closure_.select(F.col("area_id").alias("geography_id"), F.col("ancestor_id"))
-    target = F.coalesce(F.col("ancestor_id"), must_fail("population contains unknown geographies"))
-    return (
-        facts.join(up, "geography_id", "left")
-        .withColumn("area_id", target)
-        .groupBy("area_id", *keys)
-        .agg(*[F.sum(m).alias(m) for m in measures])
-    )
+    return lift(facts.withColumnRenamed("geography_id", "area_id"), tree_, keys, {m: F.sum for m in measures})
 
 
 def leaf_totals(start: DataFrame, end: DataFrame) -> DataFrame:
@@ -87,17 +147,14 @@ def leaf_totals(start: DataFrame, end: DataFrame) -> DataFrame:
     return stock.unionByName(seen).groupBy("geography_id").agg(F.sum("population").alias("total"))
 
 
-def effective_status(geographies: DataFrame, closure_: DataFrame, leaves: DataFrame) -> DataFrame:
+def effective_status(geographies: DataFrame, tree_: Tree, leaves: DataFrame) -> DataFrame:
     """Per area: the worst status of itself and its populated leaves, and the affected share.
 
     ``leaves`` is :func:`leaf_totals`; the share is start stock in leaves of rank 2 or worse.
     """
-    ranks = geographies.select(F.col("area_id").alias("geography_id"), status_rank(F.col("boundary_status")).alias("leaf_rank"))
-    weighted = leaves.join(ranks, "geography_id").withColumn("affected", F.when(F.col("leaf_rank") >= 2, F.col("total")).otherwise(0.0))
-    up = closure_.select(F.col("area_id").alias("geography_id"), "ancestor_id")
-    below = weighted.join(up, "geography_id").groupBy(F.col("ancestor_id").alias("area_id")).agg(
-        F.max("leaf_rank").alias("worst"), F.sum("total").alias("total"), F.sum("affected").alias("affected")
-    )
+    ranks = geographies.select("area_id", status_rank(F.col("boundary_status")).alias("worst"))
+    weighted = leaves.withColumnRenamed("geography_id", "area_id").join(ranks, "area_id").withColumn("affected", F.when(F.col("worst") >= 2, F.col("total")).otherwise(0.0))
+    below = lift(weighted, tree_, [], {"worst": F.max, "total": F.sum, "affected": F.sum})
     own = status_rank(F.col("boundary_status"))
     return geographies.join(below, "area_id", "left").select(
         "area_id",

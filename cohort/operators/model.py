@@ -100,7 +100,7 @@ def intermediate_windows(params: Params, base_terminal: int = 90) -> list[tuple[
 
 
 def window_detail(
-    snapshots: DataFrame, qx: DataFrame, closure: DataFrame, windows: Sequence[tuple[str, int, int, int]]
+    snapshots: DataFrame, qx: DataFrame, tree: hierarchy.Tree, windows: Sequence[tuple[str, int, int, int]]
 ) -> DataFrame:
     """:func:`cohort_detail` for many windows of one dated population table in one job.
 
@@ -130,7 +130,7 @@ def window_detail(
         F.when(needed, F.col("population") * chance).otherwise(0.0).alias("expected"),
     )
     keys = [*settings, "age", "sex", "nationality"]
-    summed = hierarchy.roll_up(combine(aged, end, settings), closure, keys, MEASURES)
+    summed = hierarchy.roll_up(combine(aged, end, settings), tree, keys, MEASURES)
     return _finish(summed, ["area_id", *keys], params)
 
 
@@ -152,14 +152,14 @@ def _finish(summed: DataFrame, keys: Sequence[str], params: Params) -> DataFrame
 
 
 def cohort_detail(
-    start: DataFrame, end: DataFrame, qx: DataFrame, closure: DataFrame, params: Params,
+    start: DataFrame, end: DataFrame, qx: DataFrame, tree: hierarchy.Tree, params: Params,
     *, half_age: bool = False, by: Sequence[str] = (),
 ) -> DataFrame:
     """One row per (area, endpoint age, sex, nationality) for every area of the tree."""
     chains = mortality.survival(qx, params.start_year, params.end_year, half_age=half_age, by=by)
     cells = combine(survivors(start, chains, params, by), end, by)
     keys = [*by, "age", "sex", "nationality"]
-    return _finish(hierarchy.roll_up(cells, closure, keys, MEASURES), ["area_id", *keys], params)
+    return _finish(hierarchy.roll_up(cells, tree, keys, MEASURES), ["area_id", *keys], params)
 
 
 def profile(detail: DataFrame, params: Params, by: Sequence[str] = ()) -> DataFrame:
@@ -170,13 +170,13 @@ def profile(detail: DataFrame, params: Params, by: Sequence[str] = ()) -> DataFr
     return out.withColumn("rate_suppressed", ~F.col("cohort_eligible") | (F.col("expected") < params.min_expected))
 
 
-def composition(start: DataFrame, end: DataFrame, closure: DataFrame, params: Params) -> DataFrame:
+def composition(start: DataFrame, end: DataFrame, tree: hierarchy.Tree, params: Params) -> DataFrame:
     """Observed stock of both years at its own age: (area_id, year, age, nationality, population)."""
     def stock(df: DataFrame, year: int) -> DataFrame:
         return df.select("geography_id", F.lit(year).alias("year"), "age", "nationality", F.col("population").cast("double").alias("population"))
 
     both = stock(start, params.start_year).unionByName(stock(end, params.end_year))
-    return hierarchy.roll_up(both, closure, ["year", "age", "nationality"], ["population"])
+    return hierarchy.roll_up(both, tree, ["year", "age", "nationality"], ["population"])
 
 
 def area_totals(detail: DataFrame, params: Params, by: Sequence[str] = ()) -> DataFrame:
@@ -205,10 +205,10 @@ def with_rates(totals: DataFrame, params: Params) -> DataFrame:
 
 
 def area_index(
-    start: DataFrame, end: DataFrame, detail: DataFrame, geographies: DataFrame, closure: DataFrame, params: Params
+    start: DataFrame, end: DataFrame, detail: DataFrame, geographies: DataFrame, tree: hierarchy.Tree, params: Params
 ) -> DataFrame:
     """One row per area of the tree, populated or not, with totals, rates and quality."""
-    quality = hierarchy.effective_status(geographies, closure, hierarchy.leaf_totals(start, end))
+    quality = hierarchy.effective_status(geographies, tree, hierarchy.leaf_totals(start, end))
     base = geographies.select("area_id", "name", "level", "parent_id").join(quality, "area_id")
     joined = base.join(area_totals(detail, params), "area_id", "left")
     filled = joined.fillna(0.0, [*MEASURES, "observed_under_interval", "observed_terminal"])

@@ -177,7 +177,7 @@ def tier(geographies: DataFrame, statuses: Sequence[str] = ("unchanged", "exact_
 
 
 def variant_totals(
-    start: DataFrame, end: DataFrame, chains: DataFrame, closure: DataFrame, params: Params, names: Sequence[str]
+    start: DataFrame, end: DataFrame, chains: DataFrame, tree: hierarchy.Tree, params: Params, names: Sequence[str]
 ) -> DataFrame:
     """Area totals of every named variant: (scenario, area_id, baseline, expected, actual, residual).
 
@@ -205,7 +205,7 @@ def variant_totals(
     kept = modelled.select("geography_id", *[F.when(F.col("_on"), F.col(m)).otherwise(zero).alias(m) for m in measures])
     # Ages and sexes are summed before the roll-up: one row per leaf climbs the tree.
     leaves = kept.groupBy("geography_id").agg(*[F.sum(m).alias(m) for m in measures])
-    areas = hierarchy.roll_up(leaves, closure, [], measures)
+    areas = hierarchy.roll_up(leaves, tree, [], measures)
     each = F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(f"_e{i}").alias("expected")) for i, n in enumerate(names)]))
     out = areas.select("area_id", "baseline", "actual", each)
     return out.select("scenario", "area_id", "baseline", "expected", "actual", (F.col("actual") - F.col("expected")).alias("residual"))

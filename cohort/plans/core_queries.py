@@ -18,16 +18,23 @@ SPARSE = Params(min_expected=4000.0)
 WINDOWS = [("2015-2018", 2015, 2018, 100), ("2016-2020", 2016, 2020, 100), ("2015-2021", 2015, 2021, 95)]
 
 
-def closure(f: Fixtures) -> DataFrame:
-    return hierarchy.closure(f.geographies)
+_TREES: dict[tuple[str, str], hierarchy.Tree] = {}
+
+
+def tree(f: Fixtures) -> hierarchy.Tree:
+    """The tree of a data folder, written once in a session."""
+    key = f.spark.sparkContext.applicationId, f.folder
+    if key not in _TREES:
+        _TREES[key] = hierarchy.tree(f.geographies)
+    return _TREES[key]
 
 
 def detail(f: Fixtures, params: Params = P, **kw) -> DataFrame:
-    return model.cohort_detail(f.population_start, f.population_end, f.mortality, closure(f), params, **kw)
+    return model.cohort_detail(f.population_start, f.population_end, f.mortality, tree(f), params, **kw)
 
 
 def index(f: Fixtures, params: Params = P) -> DataFrame:
-    return model.area_index(f.population_start, f.population_end, detail(f, params), f.geographies, closure(f), params)
+    return model.area_index(f.population_start, f.population_end, detail(f, params), f.geographies, tree(f), params)
 
 
 def profile(f: Fixtures, params: Params = P) -> DataFrame:
@@ -37,11 +44,11 @@ def profile(f: Fixtures, params: Params = P) -> DataFrame:
 def results(f: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(detail, profile, index)`` over one written detail table, for queries that need several."""
     d = stage(detail(f))
-    return d, model.profile(d, P), model.area_index(f.population_start, f.population_end, d, f.geographies, closure(f), P)
+    return d, model.profile(d, P), model.area_index(f.population_start, f.population_end, d, f.geographies, tree(f), P)
 
 
 def composition(f: Fixtures) -> DataFrame:
-    return model.composition(f.population_start, f.population_end, closure(f), P)
+    return model.composition(f.population_start, f.population_end, tree(f), P)
 
 
 shared("x_closure", """/*cols: area_id, ancestor_id, depth*/
@@ -118,7 +125,17 @@ INDEX_COLUMNS = (
 
 @query("hie1_closure", "select area_id, ancestor_id, depth from x_closure")
 def _(f):
-    return closure(f)
+    return hierarchy.closure(f.geographies)
+
+
+@query("hie1_intervals", """
+with recursive p as (select area_id, [area_id] as path from fx_geographies where parent_id is null
+  union all select g.area_id, list_append(p.path, g.area_id) from p join fx_geographies g on g.parent_id = p.area_id),
+n as (select ancestor_id as area_id, count(*) as n from x_closure group by 1)
+select area_id, low, low + n - 1 as high, depth
+from (select area_id, row_number() over (order by path) - 1 as low, len(path) - 1 as depth from p) join n using (area_id)""")
+def _(f):
+    return hierarchy.intervals(tree(f))
 
 
 @query("hie2_mixed_grain", """
@@ -126,25 +143,25 @@ with ids as (select distinct geography_id as area_id from fx_population_start un
 select distinct i.area_id from ids i join x_closure c on c.ancestor_id = i.area_id and c.depth > 0 join ids l on l.area_id = c.area_id""")
 def _(f):
     extra = f.sql("select 'N' || cast(c_nationkey as string) as area_id from customer")
-    return hierarchy.mixed_grain(f.population_start.select(F.col("geography_id").alias("area_id")).unionByName(extra), closure(f))
+    return hierarchy.mixed_grain(f.population_start.select(F.col("geography_id").alias("area_id")).unionByName(extra), tree(f))
 
 
 @query("hie3_roll_up", """
 select ancestor_id as area_id, nationality, sum(population)::bigint as population from fx_population_start join x_closure on geography_id = area_id group by all""")
 def _(f):
-    return hierarchy.roll_up(f.population_start, closure(f), ["nationality"], ["population"])
+    return hierarchy.roll_up(f.population_start, tree(f), ["nationality"], ["population"])
 
 
 @query("hie4_effective_status", "select area_id, effective_status from x_quality")
 def _(f):
     leaves = hierarchy.leaf_totals(f.population_start, f.population_end)
-    return hierarchy.effective_status(f.geographies, closure(f), leaves).select("area_id", "effective_status")
+    return hierarchy.effective_status(f.geographies, tree(f), leaves).select("area_id", "effective_status")
 
 
 @query("hie5_affected_share", "select area_id, round(affected_share, 6) as affected_share from x_quality")
 def _(f):
     leaves = hierarchy.leaf_totals(f.population_start, f.population_end)
-    return rounded(hierarchy.effective_status(f.geographies, closure(f), leaves).select("area_id", "affected_share"))
+    return rounded(hierarchy.effective_status(f.geographies, tree(f), leaves).select("area_id", "affected_share"))
 
 
 @query("hie8_parent_mismatch", """
@@ -381,13 +398,13 @@ select window_id, interval::int as interval, terminal_age::int as terminal_age,
 
 @query("coh12_windows", WINDOW_TOTALS.format(w="x_windows"))
 def _(f):
-    return rounded(model.window_totals(model.window_detail(f.snapshots, f.mortality, closure(f), WINDOWS)))
+    return rounded(model.window_totals(model.window_detail(f.snapshots, f.mortality, tree(f), WINDOWS)))
 
 
 @query("coh13_intermediate_years", WINDOW_TOTALS.format(w="x_fixed_windows"))
 def _(f):
     windows = model.intermediate_windows(Params(start_year=2015, end_year=2021))
-    return rounded(model.window_totals(model.window_detail(f.snapshots, f.mortality, closure(f), windows)))
+    return rounded(model.window_totals(model.window_detail(f.snapshots, f.mortality, tree(f), windows)))
 
 
 @query("coh14_annual_fallback", """
@@ -534,7 +551,7 @@ def variant_totals(f: Fixtures) -> DataFrame:
     observed = f.rates.select("year", "age", "sex", "qx").withColumn("scenario", F.lit("observed_rates"))
     chains = mortality.survival(lowered.unionByName(observed), 2015, 2025, by=["scenario"])
     half = mortality.survival(m, 2015, 2025, half_age=True).withColumn("scenario", F.lit("half_age"))
-    return scenarios.variant_totals(f.population_start, f.population_end, chains.unionByName(half), closure(f), P,
+    return scenarios.variant_totals(f.population_start, f.population_end, chains.unionByName(half), tree(f), P,
                                     ["half_age", "lower_mortality", "observed_rates"])
 
 

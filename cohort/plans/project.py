@@ -37,7 +37,7 @@ class Bundle:
         return [*written, "map_indicator"]
 
 
-def enforce_tree(start: DataFrame, end: DataFrame, geographies: DataFrame, closure: DataFrame) -> None:
+def enforce_tree(start: DataFrame, end: DataFrame, geographies: DataFrame, tree: hierarchy.Tree) -> None:
     """Unique keys, a sound tree and no population on both a leaf and its ancestor."""
     unique(geographies, ["area_id"])
     for population in (start, end):
@@ -46,7 +46,7 @@ def enforce_tree(start: DataFrame, end: DataFrame, geographies: DataFrame, closu
     if lost:
         raise ContractError(f"hierarchy: {[tuple(r) for r in lost]}")
     leaves = start.select(F.col("geography_id").alias("area_id")).unionByName(end.select(F.col("geography_id").alias("area_id")))
-    mixed = hierarchy.mixed_grain(leaves, closure).take(3)
+    mixed = hierarchy.mixed_grain(leaves, tree).take(3)
     if mixed:
         raise ContractError(f"population mixes leaves with their aggregates: {[r.area_id for r in mixed]}")
 
@@ -60,12 +60,12 @@ def analyse(
     ``variants`` maps a scenario name to its mortality schedule. The detail and the index are
     written once and feed every other table.
     """
-    closure = stage(hierarchy.closure(geographies))
-    enforce_tree(start, end, geographies, closure)
-    detail = stage(model.cohort_detail(start, end, qx, closure, params))
-    index = stage(model.area_index(start, end, detail, geographies, closure, params))
+    tree = hierarchy.tree(geographies)
+    enforce_tree(start, end, geographies, tree)
+    detail = stage(model.cohort_detail(start, end, qx, tree, params))
+    index = stage(model.area_index(start, end, detail, geographies, tree, params))
     profile = model.profile(detail, params)
-    composition = model.composition(start, end, closure, params)
+    composition = model.composition(start, end, tree, params)
     out = Bundle(params)
     out.tables = {
         "cohort_detail": detail,
@@ -85,7 +85,7 @@ def analyse(
         for name, table in chains.items():
             one = table.withColumn("scenario", F.lit(name))
             stacked = one if stacked is None else stacked.unionByName(one)
-        totals = scenarios.variant_totals(start, end, stacked, closure, params, list(chains))
+        totals = scenarios.variant_totals(start, end, stacked, tree, params, list(chains))
         comparison = stage(scenarios.compare(index, totals))
         out.tables["sensitivities"] = comparison
         out.reports["materiality"] = scenarios.material(comparison)
@@ -176,7 +176,7 @@ def prepare(wide: DataFrame, params: Params, *, total_column: str | None = None)
 
 
 def research(
-    snapshots: DataFrame, qx: DataFrame, closure: DataFrame, windows: Sequence[tuple[str, int, int, int]]
+    snapshots: DataFrame, qx: DataFrame, tree: hierarchy.Tree, windows: Sequence[tuple[str, int, int, int]]
 ) -> DataFrame:
     """Area totals of many windows of dated snapshots in one job."""
-    return model.window_totals(model.window_detail(snapshots, qx, closure, windows))
+    return model.window_totals(model.window_detail(snapshots, qx, tree, windows))

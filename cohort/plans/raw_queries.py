@@ -9,7 +9,7 @@ from cohort.contracts import coverage_gaps
 from cohort.functions import expressions as ex
 from cohort.operators import bands, controls, model, mortality, normalise, profiling, qa
 from cohort.params import Params
-from cohort.plans.core_queries import R, closure, composition, detail, results, variant_totals
+from cohort.plans.core_queries import R, composition, detail, results, variant_totals
 from cohort.plans.fixtures import Fixtures
 from cohort.plans.registry import query, rounded, shared
 from cohort.sources import files, sinks, tables

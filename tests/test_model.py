@@ -32,7 +32,7 @@ def cells(spark, *rows):
 
 def run(spark, start, end, geos=None, params=P, **kw):
     geos = geos if geos is not None else tree(spark)
-    closure = hierarchy.closure(geos)
+    closure = hierarchy.tree(geos)
     detail = model.cohort_detail(start, end, qx(spark), closure, params, **kw)
     return detail, model.area_index(start, end, detail, geos, closure, params)
 
@@ -64,7 +64,7 @@ def test_residual_and_rates(spark):
 
 def test_missing_mortality_fails_only_where_needed(spark):
     short = qx(spark, ages=60)
-    closure = hierarchy.closure(tree(spark))
+    closure = hierarchy.tree(tree(spark))
     end = cells(spark, ("s1", 40, "male", "ESP", 1))
     free = cells(spark, ("s1", 55, "male", "ESP", 0), ("s1", 95, "male", "ESP", 9))
     assert model.cohort_detail(free, end, short, closure, P).count() > 0
@@ -131,6 +131,40 @@ def test_trees_of_any_depth(spark):
     assert rows(hierarchy.unreachable(looped), "area_id") == sorted((f"a{n}",) for n in range(10, 300))
     with pytest.raises(Exception, match="cycle"):
         hierarchy.closure(looped)
+    with pytest.raises(Exception, match="cycle"):
+        hierarchy.tree(looped)
+
+
+def test_totals_and_intervals_of_deep_and_bushy_trees(spark):
+    import random
+
+    rng = random.Random(3)
+    chain = {f"a{n:03}": f"a{n - 1:03}" if n else None for n in range(500)}
+    bushy = {f"b{n:03}": f"b{rng.randrange(n):03}" if n else None for n in range(200)}
+    parent = chain | bushy | {f"c{n:03}": "b000" for n in range(120)}
+    made = hierarchy.tree(spark.createDataFrame(list(parent.items()), "area_id string, parent_id string"))
+    assert len(made.steps) == 9 and sum(s.count() for s in made.steps[1:]) < 9 * len(parent)
+
+    facts = [(rng.choice(list(parent)), rng.choice("xy"), rng.randint(1, 9)) for _ in range(700)]
+    expected, below = {}, {a: [a] for a in parent}
+    for area, key, n in facts:
+        while area:
+            expected[area, key] = expected.get((area, key), 0) + n
+            area = parent[area]
+    rolled = hierarchy.roll_up(spark.createDataFrame(facts, "geography_id string, k string, n long"), made, ["k"], ["n"])
+    assert {(r.area_id, r.k): r.n for r in rolled.collect()} == expected
+    with pytest.raises(Exception, match="unknown geographies"):
+        hierarchy.roll_up(spark.createDataFrame([("zz", 1)], "geography_id string, n long"), made, [], ["n"]).collect()
+
+    for area in parent:
+        up = parent[area]
+        while up:
+            below[up].append(area)
+            up = parent[up]
+    place = {r.area_id: (r.low, r.high, r.depth) for r in hierarchy.intervals(made).collect()}
+    at = {low: a for a, (low, _, _) in place.items()}
+    assert sorted(at) == list(range(len(parent))) and place["a499"][2] == 499
+    assert all({at[k] for k in range(low, high + 1)} == set(below[a]) for a, (low, high, _) in place.items())
 
 
 def fertility(spark, rate=50.0):
@@ -150,7 +184,7 @@ def test_women_without_mortality_fail_the_births(spark):
 def test_risks_outside_their_range_fail_everywhere(spark):
     wrong, women = qx(spark, 1.5), cells(spark, ("s1", 30, "female", "EXT", 100))
     hazards = qx(spark).select("year", "age", "sex", F.lit(0.5).alias("hazard"))
-    closure = hierarchy.closure(tree(spark))
+    closure = hierarchy.tree(tree(spark))
     snapshots = women.withColumn("year", F.lit(2015)).unionByName(women.withColumn("year", F.lit(2025)))
     for run_it in (
         lambda: scenarios.births(women, wrong, fertility(spark), P),
@@ -166,6 +200,8 @@ def test_risks_outside_their_range_fail_everywhere(spark):
 @pytest.mark.parametrize("parent, message", [("nowhere", "unknown parent"), ("s1", "cycle")])
 def test_broken_trees_fail(spark, parent, message):
     geos = tree(spark).withColumn("parent_id", F.when(F.col("area_id") == "b", parent).otherwise(F.col("parent_id")))
+    with pytest.raises(Exception, match=message):
+        hierarchy.tree(geos)
     with pytest.raises(Exception, match=message):
         hierarchy.closure(geos).collect()
     assert not hierarchy.unreachable(geos).isEmpty()
