@@ -244,18 +244,6 @@ def validity(vertices: DataFrame) -> DataFrame:
     return joined.withColumn("valid", (F.col("open_rings") == 0) & (F.col("flat_rings") == 0) & (F.col("crossings") == 0))
 
 
-def boundary(vertices: DataFrame, groups: DataFrame) -> DataFrame:
-    """Outline edges of each group of polygons: an edge shared by two members cancels.
-
-    ``groups`` is ``(id, group_id)``. Members must share whole edges where they touch.
-    """
-    e = edges(vertices).join(groups, "id")
-    a, b = F.struct(F.col("xa").alias("x"), F.col("ya").alias("y")), F.struct(F.col("xb").alias("x"), F.col("yb").alias("y"))
-    norm = e.select("group_id", F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
-    once = norm.groupBy("group_id", "p", "q").agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
-    return once.select("group_id", F.col("p.x").alias("xa"), F.col("p.y").alias("ya"), F.col("q.x").alias("xb"), F.col("q.y").alias("yb"))
-
-
 def quantise(vertices: DataFrame, grid: int = 100_000) -> DataFrame:
     """Integer grid coordinates and the step from the previous vertex of the ring."""
     v = with_part(vertices)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort.contracts import violations
 from cohort.operators import crosswalk as xwk
-from cohort.operators import graph, parents, polygons, qa, registry
-from cohort.operators.staging import stage
+from cohort.operators import dissolve, graph, parents, polygons, qa, registry
+from cohort.operators.staging import shared_folder, stage
 from cohort.params import Params
 from cohort.plans.core_queries import R
 from cohort.plans.fixtures import Fixtures
@@ -275,7 +276,35 @@ select group_id, xa, ya, xb, yb from (
 def _(f):
     zones, _ = overlay(f)
     groups = xwk.crosswalk(zones).filter("vintage = 'old'").select(F.col("source_id").alias("id"), F.col("zone_id").alias("group_id"))
-    return polygons.boundary(f.layer("old"), groups)
+    return dissolve.boundary(f.layer("old"), groups)
+
+
+shared("x_outlines", """
+with latest as (select zone_id, max(vintage = 'new') as has_new from x_walk group by 1),
+e as (select w.zone_id, w.vintage, a.id, a.x as xa, a.y as ya, b.x as xb, b.y as yb, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) as size
+  from x_walk w join latest using (zone_id) join fx_polygons a on a.vintage = w.vintage and a.id = w.source_id
+  join fx_polygons b on b.vintage = a.vintage and b.id = a.id and b.ring = a.ring and b.seq = a.seq + 1 where w.vintage = case when has_new then 'new' else 'old' end),
+-- Members share the part of a line that edges of both have.
+s as (select p.zone_id, sum(case when p.ya = p.yb then greatest(0, least(greatest(p.xa, p.xb), greatest(q.xa, q.xb)) - greatest(least(p.xa, p.xb), least(q.xa, q.xb)))
+    else greatest(0, least(greatest(p.ya, p.yb), greatest(q.ya, q.yb)) - greatest(least(p.ya, p.yb), least(q.ya, q.yb))) * p.size / abs(p.yb - p.ya) end) as shared
+  from e p join e q on q.zone_id = p.zone_id and q.id > p.id and abs((p.xb - p.xa) * (q.ya - p.ya) - (p.yb - p.ya) * (q.xa - p.xa)) < 1e-6
+    and abs((p.xb - p.xa) * (q.yb - p.ya) - (p.yb - p.ya) * (q.xb - p.xa)) < 1e-6 group by 1)
+select e.zone_id, max(vintage) as vintage, sum(one) as area, sum(around) - 2 * coalesce(any_value(shared), 0) as perimeter
+from (select zone_id, vintage, id, abs(sum(xa * yb - xb * ya)) / 2 as one, sum(size) as around from e group by all) e left join s on s.zone_id = e.zone_id group by 1""")
+
+
+def outline_measures(vertices: DataFrame) -> DataFrame:
+    """Area, perimeter and open rings of each polygon."""
+    e = stage(polygons.edges(vertices))
+    around = e.groupBy("id").agg(F.sum(F.hypot(F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya"))).alias("perimeter"))
+    open_rings = polygons.validity(vertices).select("id", "open_rings")
+    return polygons.areas(e).join(around, "id").join(open_rings, "id").withColumnRenamed("id", "zone_id")
+
+
+@query("geo12_zone_polygons", f"select zone_id, {R('area perimeter')}, 0::bigint as open_rings from x_outlines")
+def _(f):
+    zones, _ = overlay(f)
+    return rounded(outline_measures(dissolve.zone_polygons(stage(xwk.crosswalk(zones)), f.layer("old"), f.layer("new"))))
 
 
 shared("x_grid", """
@@ -754,13 +783,20 @@ def _(f):
     return layers.parent_layer(records, records.count())
 
 
-@query("snk5_zone_outlines", f"""
-select zone_id, count(*) as edges from (select zone_id, least(x, xb) as a, greatest(x, xb) as b, least(y, yb) as c, greatest(y, yb) as d from ({_edges('x_new')}) e
-  join x_walk w on w.vintage = 'new' and w.source_id = e.id group by all having count(*) = 1) group by 1""")
+@query("snk5_zone_outlines", f"select zone_id, 'EPSG:25830' as crs, '2024-' || vintage as version, {R('area perimeter')}, 0::bigint as open_rings from x_outlines")
 def _(f):
     zones, _ = overlay(f)
-    groups = xwk.crosswalk(zones).filter("vintage = 'new'").select(F.col("source_id").alias("id"), F.col("zone_id").alias("group_id"))
-    return polygons.boundary(f.layer("new"), groups).groupBy(F.col("group_id").alias("zone_id")).agg(F.count(F.lit(1)).alias("edges"))
+    walk_, folder = stage(xwk.crosswalk(zones)), f"{shared_folder(f.spark)}/trip-{uuid.uuid4().hex}"
+    shapes = stage(dissolve.zone_polygons(walk_, f.layer("old"), f.layer("new")))
+    back = []
+    for vintage in ("old", "new"):  # zones that only the old layer has, and the others, are two releases here
+        latest = walk_.groupBy("zone_id").agg(F.min("vintage").alias("vintage"))  # "new" comes before "old"
+        mine = latest.filter(F.col("vintage") == vintage)
+        kept = shapes.join(mine.select(F.col("zone_id").alias("id")), "id", "left_semi")
+        sinks.write_zones(kept, walk_, f"{folder}/{vintage}", version=f"2024-{vintage}")
+        named, vertices = sinks.read_zones(f.spark, f"{folder}/{vintage}")
+        back.append(named.join(outline_measures(stage(vertices)), "zone_id"))
+    return rounded(back[0].unionByName(back[1]))
 
 
 @query("snk9_boundary_review", """

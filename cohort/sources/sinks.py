@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohort.contracts import ContractError
 from cohort.sources import files
 from cohort.sources.layers import collection
+from cohort.sources.layers import vertices as layer_vertices
 
 SMALL_AREA_COLUMNS = (
     "area_id", "name", "level", "parent_id", "boundary_status", "baseline", "expected", "actual", "residual",
@@ -59,11 +60,18 @@ def indicator_table(indicators: DataFrame, path: str) -> None:
     write_table(indicators, path, partition_by=("level", "preset"))
 
 
-def write_zones(boundary_edges: DataFrame, crosswalk: DataFrame, folder: str, *, version: str, crs: str = "EPSG:25830") -> None:
-    """Crosswalk rows, and zone outlines as nested edge lists with CRS and version."""
+def write_zones(vertices: DataFrame, crosswalk: DataFrame, folder: str, *, version: str, crs: str = "EPSG:25830") -> None:
+    """Crosswalk rows, and the zones' polygons as GeoJSON features with CRS and version."""
     write_table(crosswalk, f"{folder}/crosswalk")
-    edges = boundary_edges.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("xa", "ya", "xb", "yb"))).alias("outline"))
-    write_table(edges.select(F.col("group_id").alias("zone_id"), "outline", F.lit(crs).alias("crs"), F.lit(version).alias("version")), f"{folder}/zones")
+    zones = collection(vertices).select(F.col("id").alias("zone_id"), "feature", F.lit(crs).alias("crs"), F.lit(version).alias("version"))
+    write_table(zones, f"{folder}/zones")
+
+
+def read_zones(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``(zones, vertices)`` of :func:`write_zones`: id, CRS and version of each zone, and its polygons."""
+    zones = spark.read.parquet(f"{folder}/zones")
+    each = zones.select(F.from_json("feature", "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>").alias("f"))
+    return zones.select("zone_id", "crs", "version"), layer_vertices(each.select("f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates")), "area_id")
 
 
 def write_geojson(vertices: DataFrame, path: str) -> None:

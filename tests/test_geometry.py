@@ -7,10 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cohort.operators import crosswalk, graph, ordering, parents, polygons, spatial
+from cohort.operators import crosswalk, dissolve, graph, ordering, parents, polygons, spatial
 from cohort.params import Params
 from cohort.plans import project
-from cohort.sources import layers
+from cohort.sources import layers, sinks
 
 from conftest import rows
 
@@ -109,7 +109,7 @@ def test_projection_round_trip_and_known_point(spark):
 def test_boundary_and_quantised_round_trip(spark):
     layer = shapes(spark, a=box(0, 0, 10, 10), b=box(10, 0, 20, 10))
     groups = spark.createDataFrame([("a", "z"), ("b", "z")], "id string, group_id string")
-    assert polygons.boundary(layer, groups).count() == 6
+    assert dissolve.boundary(layer, groups).count() == 6
     back = polygons.restore(polygons.quantise(layer), (0, 0, 20, 10)).join(layer.withColumnsRenamed({"x": "x_in", "y": "y_in"}), ["id", "part", "ring", "seq"])
     worst = back.agg(F.max(F.abs(F.col("x") - F.col("x_in"))).alias("dx"), F.max(F.abs(F.col("y") - F.col("y_in"))).alias("dy")).head()
     assert worst.dx < 2e-4 and worst.dy < 2e-4
@@ -260,3 +260,38 @@ def test_interval_join_with_keys_equals_brute_force(spark):
     starts, ends = ({k: sorted(r[c] for r in rows_ if r[0] == k) for k in "ab"} for c in (2, 3))
     expected = {n: bisect.bisect_right(starts[k], b) - bisect.bisect_left(ends[k], a) for k, n, a, b in rows_}
     assert dict(map(tuple, got)) == expected
+
+
+def test_dissolve_with_t_junctions_holes_and_touching_corners(spark, tmp_path):
+    layer = shapes(
+        spark, a=box(0, 0, 10, 10), b=box(10, 0, 20, 5), c=list(reversed(box(10, 5, 20, 10))),
+        d=[box(100, 0, 110, 10), box(103, 3, 107, 7)], e=box(110, 2, 120, 8), h=[box(104, 4, 106, 6), box(104.5, 4.5, 105, 5)],
+        f=box(200, 0, 201, 1), g=box(201, 1, 202, 2), s=[(300, 0), (306, 3), (300, 3)], t=[(302, 1), (306, 1), (306, 3)])
+    groups = spark.createDataFrame([(x, z) for z, xs in {"z1": "abc", "z2": "deh", "z3": "fg", "z4": "st"}.items() for x in xs], "id string, group_id string")
+    made = dissolve.polygons_of(dissolve.rings(dissolve.outline(layer, groups)))
+    points = {}
+    for r in made.orderBy("seq").collect():
+        points.setdefault((r.id, r.part, r.ring), []).append((r.x, r.y))
+    assert all(p[0] == p[-1] and len(set(p)) == len(p) - 1 for p in points.values())
+    assert points["z1", 0, 0] == [(0, 0), (10, 0), (20, 0), (20, 5), (20, 10), (10, 10), (0, 10), (0, 0)] and len([k for k in points if k[0] == "z1"]) == 1
+    shells = {k: v for k, v in points.items() if k[0] == "z2"}
+    assert sorted(len(v) for v in shells.values()) == [5, 5, 5, 9]
+    of = {v[0]: k for k, v in shells.items()}  # by the first vertex, the lowest of its ring
+    assert of[103, 3][1] == of[100, 0][1] and of[104.5, 4.5][1] == of[104, 4][1] and of[100, 0][2] == of[104, 4][2] == 0 < of[103, 3][2]
+    assert sorted(len(v) for k, v in points.items() if k[0] == "z3") == [5, 5]  # touching corners are two rings
+    assert {r.id: round(r.area, 9) for r in polygons.areas(made).collect()} == {"z1": 200.0, "z2": 100 - 16 + 60 + 4 - 0.25, "z3": 2.0, "z4": 9 + 4.0}
+    assert polygons.validity(made).filter("not valid").isEmpty()
+
+    walk = spark.createDataFrame([("z1", "new", "a", 1.0)], "zone_id string, vintage string, source_id string, weight double")
+    sinks.write_zones(made, walk, str(tmp_path), version="7", crs="EPSG:4326")
+    named, back = sinks.read_zones(spark, str(tmp_path))
+    assert rows(named, "zone_id", "crs", "version") == [(z, "EPSG:4326", "7") for z in ("z1", "z2", "z3", "z4")]
+    assert rows(back, "id", "part", "ring", "seq", "x", "y") == rows(made, "id", "part", "ring", "seq", "x", "y")
+
+
+def test_long_rings_are_ranked_and_zones_fall_back_to_the_old_layer(spark):
+    old, new = shapes(spark, gone=box(0, 0, 1, 1), kept=box(5, 0, 6, 1)), shapes(spark, kept=circle(9, 9, 2, 700), half=box(20, 0, 21, 1))
+    walk = spark.createDataFrame([("z1", "old", "gone"), ("z2", "old", "kept"), ("z2", "new", "kept"), ("z2", "new", "half")], "zone_id string, vintage string, source_id string")
+    made = dissolve.zone_polygons(walk, old, new)
+    assert {r.id: (r.n, r.parts) for r in made.groupBy("id").agg(F.count("x").alias("n"), F.countDistinct("part").alias("parts")).collect()} == {"z1": (5, 1), "z2": (706, 2)}
+    assert sorted(round(r.area, 6) for r in polygons.areas(made).collect()) == [1.0, round(polygons.areas(new).agg(F.sum("area")).head()[0], 6)]
