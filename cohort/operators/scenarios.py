@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,36 +178,58 @@ def tier(geographies: DataFrame, statuses: Sequence[str] = ("unchanged", "exact_
     return guard(joined, {"parent outside the tier": orphan}).select(*geographies.columns)
 
 
+@dataclass(frozen=True)
+class Variant:
+    """A named variant: the schedule whose survival it uses, and the age its modelled groups end below."""
+
+    name: str
+    schedule: str
+    terminal_age: int
+
+
 def variant_totals(
-    start: DataFrame, end: DataFrame, chains: DataFrame, tree: hierarchy.Tree, params: Params, names: Sequence[str]
+    start: DataFrame, end: DataFrame, chains: DataFrame, tree: hierarchy.Tree, params: Params, variants: Sequence[str | Variant]
 ) -> DataFrame:
-    """Area totals of every named variant: (scenario, area_id, baseline, expected, actual, residual).
+    """Area totals of every variant: (scenario, terminal_age, area_id, baseline, expected, actual, residual).
 
-    Actual and baseline do not depend on the schedule, so only ``expected`` is spread over the
-    variants; both population tables are still read once. ``chains`` is a survival table per
-    scenario, at most 262 rows each.
+    Variants may share schedules and end at ages of their own; a plain name is a schedule that ends at the window's terminal
+    age. Actual and baseline do not depend on the schedule, and both population tables are read once whatever the variants:
+    cells are summed by the spans between terminal ages, and a variant adds up the spans below its own. ``chains`` is a
+    survival table per schedule, at most 262 rows each; a schedule needs survival only below its highest terminal age.
     """
+    wanted = [Variant(v, v, params.terminal_age) if isinstance(v, str) else v for v in variants]
+    if len({v.name for v in wanted}) < len(wanted):
+        raise ValueError("repeated variant name")
+    schedules = list(dict.fromkeys(v.schedule for v in wanted))
+    cuts = sorted({v.terminal_age for v in wanted})
+    last = {s: max(v.terminal_age for v in wanted if v.schedule == s) for s in schedules}
     per_cell = chains.groupBy("age", "sex").agg(F.map_from_entries(F.collect_list(F.struct("scenario", "survival"))).alias("_s"))
     joined = model.guarded(start).join(F.broadcast(per_cell), ["age", "sex"], "left")
-    needed = (F.col("age") + params.interval < params.terminal_age) & (F.col("population") != 0)
     zero = F.lit(0.0)
 
     def value(name: str) -> Column:
+        needed = (F.col("age") + params.interval < last[name]) & (F.col("population") != 0)
         chance = required(F.try_element_at("_s", F.lit(name)), f"missing mortality probability in {name}")
         return F.when(needed, F.col("population") * chance).otherwise(0.0)
 
     aged = model.shift(joined.select(
         "geography_id", "age", F.col("population").cast("double").alias("baseline"), zero.alias("actual"),
-        *[value(n).alias(f"_e{i}") for i, n in enumerate(names)]), params.interval)
+        *[value(n).alias(f"_e{i}") for i, n in enumerate(schedules)]), params.interval)
     seen = model.guarded(end).select(
         "geography_id", "age", zero.alias("baseline"), F.col("population").cast("double").alias("actual"),
-        *[zero.alias(f"_e{i}") for i in range(len(names))])
-    modelled = aged.unionByName(seen).withColumn("_on", model.eligible(F.col("age"), params))
-    measures = ["baseline", "actual", *[f"_e{i}" for i in range(len(names))]]
-    kept = modelled.select("geography_id", *[F.when(F.col("_on"), F.col(m)).otherwise(zero).alias(m) for m in measures])
+        *[zero.alias(f"_e{i}") for i in range(len(schedules))])
+    columns = ["baseline", "actual", *[f"_e{i}" for i in range(len(schedules))]]
     # Ages and sexes are summed before the roll-up: one row per leaf climbs the tree.
-    leaves = kept.groupBy("geography_id").agg(*[F.sum(m).alias(m) for m in measures])
-    areas = hierarchy.roll_up(leaves, tree, [], measures)
-    each = F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(f"_e{i}").alias("expected")) for i, n in enumerate(names)]))
-    out = areas.select("area_id", "baseline", "actual", each)
-    return out.select("scenario", "area_id", "baseline", "expected", "actual", (F.col("actual") - F.col("expected")).alias("residual"))
+    spans = [(F.col("age") >= low) & (F.col("age") < high) for low, high in zip([params.interval, *cuts], cuts, strict=False)]
+    sums = [F.sum(F.when(span, F.col(c)).otherwise(zero)).alias(f"{c}_{k}") for c in columns for k, span in enumerate(spans)]
+    leaves = aged.unionByName(seen).groupBy("geography_id").agg(*sums)
+    areas = hierarchy.roll_up(leaves, tree, [], [f"{c}_{k}" for c in columns for k in range(len(spans))])
+
+    def total(column: str, terminal: int) -> Column:
+        return reduce(Column.__add__, [F.col(f"{column}_{k}") for k, cut in enumerate(cuts) if cut <= terminal])
+
+    each = F.inline(F.array(*[
+        F.struct(F.lit(v.name).alias("scenario"), F.lit(v.terminal_age).alias("terminal_age"), total("baseline", v.terminal_age).alias("baseline"),
+                 total(f"_e{schedules.index(v.schedule)}", v.terminal_age).alias("expected"), total("actual", v.terminal_age).alias("actual")) for v in wanted]))
+    return areas.select("area_id", each).select(
+        "scenario", "terminal_age", "area_id", "baseline", "expected", "actual", (F.col("actual") - F.col("expected")).alias("residual"))

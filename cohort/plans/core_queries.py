@@ -544,15 +544,21 @@ select scenario, area_id, baseline, expected, actual, actual - expected as resid
   join x_closure on geography_id = area_id group by all)""")
 
 
-def variant_totals(f: Fixtures) -> DataFrame:
-    """Three variants in one job: scenario is one more key of schedule, stock and result."""
+def schedules(f: Fixtures) -> DataFrame:
+    """Survival by schedule; the base schedule is one of them."""
     m = f.mortality
     lowered = m.withColumn("qx", 0.9 * F.col("qx")).withColumn("scenario", F.lit("lower_mortality"))
     observed = f.rates.select("year", "age", "sex", "qx").withColumn("scenario", F.lit("observed_rates"))
     chains = mortality.survival(lowered.unionByName(observed), 2015, 2025, by=["scenario"])
     half = mortality.survival(m, 2015, 2025, half_age=True).withColumn("scenario", F.lit("half_age"))
-    return scenarios.variant_totals(f.population_start, f.population_end, chains.unionByName(half), tree(f), P,
-                                    ["half_age", "lower_mortality", "observed_rates"])
+    base = mortality.survival(m, 2015, 2025).withColumn("scenario", F.lit("base"))
+    return chains.unionByName(half).unionByName(base)
+
+
+def variant_totals(f: Fixtures) -> DataFrame:
+    """Three variants in one job: scenario is one more key of schedule, stock and result."""
+    chains = schedules(f).filter("scenario <> 'base'")
+    return scenarios.variant_totals(f.population_start, f.population_end, chains, tree(f), P, ["half_age", "lower_mortality", "observed_rates"]).drop("terminal_age")
 
 
 COMPARED = f"""
@@ -578,6 +584,26 @@ def _(f):
     return rounded(variant_totals(f))
 
 
+VARIANTS = [("endpoint_under90", "base", 90), ("endpoint_under95", "base", 95), ("endpoint_under100", "base", 100),
+            ("half_age_under100", "half_age", 100), ("observed_under100", "observed_rates", 100), ("lower_under95", "lower_mortality", 95)]
+
+
+@query("scn3_terminal_ages", f"""
+with v(scenario, schedule, terminal_age) as (values {', '.join(map(str, VARIANTS))}),
+c as (select * from x_scn union all select 'base', age, sex, survival from x_survival)
+select scenario, terminal_age, area_id, {R('baseline expected actual residual')} from (
+  select *, actual - expected as residual from (
+    select scenario, terminal_age, ancestor_id as area_id, coalesce(sum(baseline) filter (age >= 10 and age < terminal_age), 0)::double as baseline,
+           coalesce(sum(expected) filter (age >= 10 and age < terminal_age), 0)::double as expected, coalesce(sum(actual) filter (age >= 10 and age < terminal_age), 0)::double as actual
+    from (select v.scenario, terminal_age, geography_id, p.age + 10 as age, population as baseline, case when p.age + 10 < terminal_age then population * c.survival else 0 end as expected, 0 as actual
+          from fx_population_start p cross join v left join c on c.scenario = v.schedule and c.age = p.age and c.sex = p.sex
+          union all select v.scenario, terminal_age, geography_id, age, 0, 0, population from fx_population_end cross join v)
+    join x_closure on geography_id = area_id group by all))""")
+def _(f):
+    """Six variants of four schedules and three terminal ages, from one pass over both population tables."""
+    return rounded(scenarios.variant_totals(f.population_start, f.population_end, schedules(f), tree(f), P, [scenarios.Variant(*v) for v in VARIANTS]))
+
+
 @query("scn4_material", COMPARED.format(cols=CMP) + " where scenario = 'half_age' and abs(relative_difference) > 0.005")
 def _(f):
     return rounded(scenarios.material(scenarios.compare(model.area_totals(detail(f), P), variant_totals(f))))

@@ -300,3 +300,23 @@ def test_documented_values(medium):
     assert got["ALL"].expected == pytest.approx(416666.682299, abs=1e-5)
     assert (got["ALL"].observed_under_interval, got["ALL"].observed_terminal) == (77367, 83787)
     assert got["R0"].expected == pytest.approx(55927.289481, abs=1e-5)
+
+
+def test_variants_with_terminal_ages_of_their_own(spark):
+    start = cells(spark, ("s1", 30, "male", "ESP", 100), ("s1", 82, "female", "ESP", 10), ("s2", 87, "female", "EXT", 4), ("s2", 95, "male", "ESP", 7))
+    end = cells(spark, ("s1", 40, "male", "ESP", 90), ("s1", 92, "female", "ESP", 3), ("s2", 97, "male", "ESP", 2), ("s2", 103, "male", "ESP", 1))
+    both = mortality.survival(qx(spark), 2015, 2025).withColumn("scenario", F.lit("a")).unionByName(mortality.survival(qx(spark, 0.0), 2015, 2025).withColumn("scenario", F.lit("b")))
+    named = [scenarios.Variant(f"{s}{t}", s, t) for s in "ab" for t in (90, 95, 100)]
+    together = scenarios.variant_totals(start, end, both, hierarchy.tree(tree(spark)), P, named)
+    columns = ["scenario", "terminal_age", "area_id", "baseline", "expected", "actual", "residual"]
+    alone = []
+    for v in named:
+        alone += scenarios.variant_totals(start, end, both, hierarchy.tree(tree(spark)), P, [v]).select(*columns).collect()
+    assert rows(together, *columns) == sorted(map(tuple, alone))
+    got = {(r.scenario, r.area_id): (r.baseline, r.expected, r.actual) for r in together.collect()}
+    assert got["b90", "s1"] == (100, 100, 90) and got["b95", "s1"] == (110, 110, 93) and got["b100", "s2"] == (4, 4, 2)
+    with pytest.raises(ValueError, match="repeated variant"):
+        scenarios.variant_totals(start, end, both, hierarchy.tree(tree(spark)), P, ["a", "a"])
+    with pytest.raises(Exception, match="missing mortality probability in a"):  # needed up to the highest of its terminal ages
+        scenarios.variant_totals(start, end, both.filter("scenario = 'b' or age < 85"), hierarchy.tree(tree(spark)), P, named).collect()
+    scenarios.variant_totals(start, end, both.filter("scenario = 'b' or age < 85"), hierarchy.tree(tree(spark)), P, [scenarios.Variant("x", "a", 95), "b"]).collect()
