@@ -31,10 +31,13 @@ class Bundle:
         failed = self.reports["checks"].filter("not passed").take(3)
         if failed:
             raise ContractError(f"arithmetic checks failed: {[tuple(r) for r in failed]}")
-        written = sinks.write_bundle({k: v for k, v in self.tables.items() if k != "map_indicator"}, folder)
-        sinks.indicator_table(self.tables["map_indicator"], f"{folder}/map_indicator")
-        sinks.write_reports(self.reports, f"{folder}/reports")
-        return [*written, "map_indicator"]
+        spark = next(iter(self.tables.values())).sparkSession
+        with sinks.release(spark, folder) as out:
+            for name, df in self.tables.items():
+                out.write(name, df, partition_by=("level", "preset") if name == "map_indicator" else ())
+            for name, df in self.reports.items():
+                out.write(f"reports/{name}", df, form="json")
+        return [n for n, c in out.counts.items() if c["*"] and not n.startswith("reports/")]
 
 
 def enforce_tree(start: DataFrame, end: DataFrame, geographies: DataFrame, tree: hierarchy.Tree) -> None:

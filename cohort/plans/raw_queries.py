@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort.contracts import coverage_gaps
 from cohort.functions import expressions as ex
 from cohort.operators import bands, controls, model, mortality, normalise, profiling, qa
+from cohort.operators.staging import shared_folder
 from cohort.params import Params
 from cohort.plans.core_queries import R, composition, detail, results, variant_totals
 from cohort.plans.fixtures import Fixtures
@@ -611,12 +614,18 @@ def _(f):
     return rounded(sinks.small_areas(index))
 
 
-@query("snk11_publication_count", "select count(*) filter (population is null and cohort_status = 'eligible') as inferred, count(*) as rows from x_audit")
+@query("snk11_publication_count", """
+select count(*) filter (population is null and cohort_status = 'eligible') as inferred, count(*) as rows,
+       count(*) filter (population is null and cohort_status = 'eligible') as recorded from x_audit""")
 def _(f):
-    wide = audit(f)
-    blanks = wide.agg(F.count_if((F.col("population_status") == "unknown_blank") & (F.col("cohort_status") == "eligible")).alias("n")).head().n
-    filled = controls.checked_fill(wide, "zero-v1", blanks)
-    return filled.agg(F.count("count_policy_id").alias("inferred"), F.count(F.lit(1)).alias("rows"))
+    """Published and read back; the verified count is that of the source's blank cells, not of the table that is written."""
+    blank = " + ".join(f"if({c} is null, 1, 0)" for c in COUNTS)
+    blanks = f.sql(f"select coalesce(sum({blank}), 0) as n from fx_wide where try_cast(cod_edad_int as int) between 0 and 89").head().n
+    path = f"{shared_folder(f.spark)}/trip-{uuid.uuid4().hex}/filled"
+    sinks.publish_checked(controls.fill_zero(audit(f), "zero-v1"), path, blanks, "count_policy_id")
+    recorded = sinks.manifest(f.spark, path).filter("column = 'count_policy_id'").agg(F.sum("n").alias("n"))
+    back = f.spark.read.parquet(path).agg(F.count("count_policy_id").alias("inferred"), F.count(F.lit(1)).alias("rows"))
+    return back.withColumn("recorded", recorded.scalar())
 
 
 @query("snk12_table_inventory")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohort.contracts import ContractError
@@ -28,14 +31,93 @@ def write_text_table(df: DataFrame, path: str, *, order: Sequence[str] = ()) ->
     (flat.orderBy(*order) if order else flat).write.mode("overwrite").csv(path, header=True)
 
 
+@dataclass
+class Release:
+    """A folder of tables that is replaced as a whole.
+
+    Tables are written aside and counted while they are written. Only when every table is there and every stated count is met
+    does the new folder take the place of the old one, by renames of the Hadoop file system; until then, and after any
+    failure, readers find the old release untouched. The folder belongs to the release: what else is in it goes with the old one.
+    """
+
+    spark: SparkSession
+    folder: str
+    counts: dict[str, dict[str, int]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self._aside = f"{self.folder.rstrip('/')}.next-{uuid.uuid4().hex}"
+
+    def _path(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str) -> str:
+        return f"{self._aside}/{name}" if name else self._aside
+
+    def write(
+        self, name: str, df: DataFrame, *, expected: Mapping[str, int] | None = None, partition_by: Sequence[str] = (), form: str = "parquet"
+    ) -> None:
+        """Write one table aside; one without a name is the folder itself.
+
+        ``expected`` states how many values of a column must not be null (``*``: how many rows there are). The counts are
+        observed while the files are written, so they are those of what is published.
+        """
+        seen = Observation()
+        columns = sorted({"*", *(expected or {})})
+        marks = [F.count(F.lit(1) if c == "*" else F.col(c)).alias(f"n{k}") for k, c in enumerate(columns)]
+        writer = df.observe(seen, *marks).write.partitionBy(*partition_by).format(form)
+        (writer.option("compression", "zstd") if form == "parquet" else writer).save(self._at(name))
+        self.counts[name] = {c: int(seen.get[f"n{k}"]) for k, c in enumerate(columns)}
+        for column, n in (expected or {}).items():
+            if self.counts[name][column] != n:
+                raise ContractError(f"{name}, {column}: {self.counts[name][column]} values, {n} verified")
+
+    def publish(self) -> list[str]:
+        """Put the tables that have rows, and a ``_manifest`` of their counts, in the place of the old release."""
+        for name in [n for n, c in self.counts.items() if n and not c["*"]]:
+            path, fs = self._path(self._at(name))
+            fs.delete(path, True)
+        kept = {n: c for n, c in self.counts.items() if c["*"]}
+        rows = [(name, column, n) for name, c in kept.items() for column, n in sorted(c.items())]
+        self.spark.createDataFrame(rows, "name string, column string, n long").coalesce(1).write.json(self._at("_manifest"))
+        new, fs = self._path(self._aside)
+        target, _ = self._path(self.folder.rstrip("/"))
+        old, _ = self._path(f"{self.folder.rstrip('/')}.old-{uuid.uuid4().hex}")
+        had = fs.exists(target)
+        if had and not fs.rename(target, old):
+            raise OSError(f"cannot move the old release of {self.folder}")
+        if not fs.rename(new, target):
+            if had:
+                fs.rename(old, target)
+            raise OSError(f"cannot move the new release of {self.folder}")
+        if had:
+            fs.delete(old, True)
+        return list(kept)
+
+    def discard(self) -> None:
+        path, fs = self._path(self._aside)
+        fs.delete(path, True)
+
+
+@contextmanager
+def release(spark: SparkSession, folder: str) -> Iterator[Release]:
+    """A release that is published at the end of the block, or not at all."""
+    made = Release(spark, folder)
+    try:
+        yield made
+        made.publish()
+    except BaseException:
+        made.discard()
+        raise
+
+
 def write_bundle(frames: Mapping[str, DataFrame], folder: str) -> list[str]:
-    """The analytical tables under their names; empty ones are skipped."""
-    written = []
-    for name, df in frames.items():
-        if not df.isEmpty():
-            write_table(df, f"{folder}/{name}")
-            written.append(name)
-    return written
+    """The analytical tables under their names as one release; empty ones are skipped."""
+    spark = next(iter(frames.values())).sparkSession
+    with release(spark, folder) as out:
+        for name, df in frames.items():
+            out.write(name, df)
+    return [n for n, c in out.counts.items() if c["*"]]
 
 
 def write_long(long: DataFrame, excluded: DataFrame, profile: DataFrame, folder: str) -> None:
@@ -120,11 +202,14 @@ def small_areas(index: DataFrame) -> DataFrame:
 
 
 def publish_checked(candidate: DataFrame, path: str, expected: int, column: str) -> None:
-    """Write only when the count of non-null ``column`` values is the verified one."""
-    found = candidate.agg(F.count(column).alias("n")).head().n
-    if found != expected:
-        raise ContractError(f"{column}: {found} values, {expected} verified")
-    write_table(candidate, path)
+    """Replace the table only if the values of ``column`` that are written are as many as the verified ones."""
+    with release(candidate.sparkSession, path) as out:
+        out.write("", candidate, expected={column: expected})
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """``name, column, n`` of a release: the rows (``*``) and checked values of each of its tables."""
+    return spark.read.schema("name string, column string, n long").json(f"{folder}/_manifest")
 
 
 def write_reports(reports: Mapping[str, DataFrame], folder: str) -> None:

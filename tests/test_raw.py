@@ -265,3 +265,32 @@ def test_sheets_and_layers_are_complete(spark):
     for broken, found in ((records, 3), (records.limit(0), 2), (records.unionAll(records), 4)):
         with pytest.raises(ContractError):
             layers.parent_layer(broken, found)
+
+
+def test_releases_are_replaced_as_a_whole(spark, tmp_path):
+    folder = str(tmp_path / "release")
+    old, new = spark.range(5).withColumn("name", F.lit("old")), spark.range(9).withColumn("name", F.when(F.col("id") > 2, "new"))
+    assert sinks.write_bundle({"a": old, "b": old, "none": old.limit(0)}, folder) == ["a", "b"]
+    broken = new.withColumn("id", F.when(F.col("id") == 7, F.raise_error(F.lit("planted"))).otherwise(F.col("id")))
+
+    def failing():
+        with sinks.release(spark, folder) as out:
+            out.write("a", new)
+            out.write("b", broken)
+
+    def wrong():
+        with sinks.release(spark, folder) as out:
+            out.write("a", new)
+            out.write("b", new, expected={"name": 5})
+
+    for attempt, message in ((failing, "planted"), (wrong, "6 values, 5 verified")):
+        with pytest.raises(Exception, match=message):
+            attempt()
+        assert rows(spark.read.parquet(f"{folder}/a"), "name") == rows(spark.read.parquet(f"{folder}/b"), "name") == [("old",)] * 5
+        assert [p.name for p in tmp_path.iterdir()] == ["release"]
+    with sinks.release(spark, folder) as out:
+        out.write("a", new, expected={"name": 6, "*": 9}, partition_by=["name"])
+        out.write("reports/c", old, form="json")
+    assert spark.read.parquet(f"{folder}/a").count() == 9 and spark.read.json(f"{folder}/reports/c").count() == 5 and not (tmp_path / "release" / "b").exists()
+    assert rows(sinks.manifest(spark, folder), "name", "column", "n") == [("a", "*", 9), ("a", "name", 6), ("reports/c", "*", 5)]
+    assert [p.name for p in tmp_path.iterdir()] == ["release"]
