@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,20 @@ def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def guard_groups(df: DataFrame, by: Sequence[str], *, single: Mapping[str, Column] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Rules on whole groups inside the plan: the table is read once and shuffled once, by ``by``.
+
+    In each group every column of ``single`` must have one value, and each combination of ``by`` and ``keys`` may come once.
+    Groups that keep the rules are small, so use keys whose groups are bounded by the other columns' domains.
+    """
+    group, key = Window.partitionBy(*by), Window.partitionBy(*by, *keys)
+    rules = {name: F.min(c).over(group) != F.max(c).over(group) for name, c in (single or {}).items()}
+    if keys:
+        rules[f"duplicate key {[*by, *keys]}"] = F.count(F.lit(1)).over(key) > 1
+    marked = df.withColumns({f"_rule_{n}": bad for n, bad in enumerate(rules.values())})
+    return guard(marked, {name: F.coalesce(F.col(f"_rule_{n}"), F.lit(False)) for n, name in enumerate(rules)}).select(*df.columns)
+
+
 def coverage_gaps(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys wanted but absent (``missing``) and present but not wanted (``unexpected``)."""
     have, want = df.select(*keys).distinct(), wanted.select(*keys).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohort.contracts import ContractError, guard, must_fail, unique
+from cohort.contracts import guard, guard_groups, must_fail
 from cohort.functions.expressions import age_fields, canonical_barrio, canonical_section, is_digits, section_id
 from cohort.operators.mortality import capped_age
 from cohort.params import DISTRICTS, SECTION_PREFIX, Params
@@ -81,17 +81,16 @@ def coded(wide: DataFrame, prefix: str = SECTION_PREFIX, barrio_width: int = 4,
 def to_long(wide: DataFrame, *, prefix: str = SECTION_PREFIX, barrio_width: int = 4, total_column: str | None = None) -> DataFrame:
     """Strict mode: four facts per row; blanks, bad codes and wrong row totals fail the job.
 
-    A repeated source cell, or a section under two parents, raises before anything is read further.
+    A repeated source cell, or a section under two parents, fails it too. All rules are judged in the one scan that makes
+    the facts, so what is checked is what is used.
     """
     kept, _ = split_excluded(counts(wide))
-    unique(kept, KEYS)
-    two = parents_per_section(kept).take(3)
-    if two:
-        raise ContractError(f"sections under several parents: {[tuple(r) for r in two]}")
     rows = guard(coded(kept, prefix, barrio_width), strict_rules())
     if total_column:
         whole = sum((F.col(c) for c in COUNT_COLUMNS), F.lit(0))
         rows = guard(rows, {"row total": F.coalesce(F.col(total_column).cast("bigint") != whole, F.lit(True))})
+    section, *others = sorted(KEYS, key=lambda c: c != "cod_dist_seccion")
+    rows = guard_groups(rows, [section], single={"sections under several parents": F.col("cod_dist_barrio")}, keys=others)
     long = unpivot(rows, ["geography_id", "district_code", "barrio_code", "age", "age_kind"])
     return long.drop("count_column").withColumn("section_code", F.substring("geography_id", -3, 3))
 
