@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cohort.contracts import guard
 from cohort.functions.expressions import divide
 from cohort.operators.ordering import running_sum
-from cohort.operators.spatial import overlap_join
+from cohort.operators.spatial import Partition, overlap_join, partition_of
 from cohort.operators.staging import stage
 
 RING = ("id", "part", "ring")
@@ -111,8 +111,8 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.filter("x1 > x0 and y1 > y0")
 
 
-def _pair_edges(pairs: DataFrame, side: str, layer: DataFrame) -> DataFrame:
-    """Edges of one side cut to the x-range of each pair they matter to, measured from its corner."""
+def _pair_edges(pairs: DataFrame, side: str, layer: DataFrame, strips: Partition) -> DataFrame:
+    """Edges of one side cut to the x-range of each pair they matter to; heights are measured from the pair's base."""
     e = edges(layer).filter("xa <> xb")
     e = e.select(
         F.col("id").alias(side), "part", "ring",
@@ -121,12 +121,12 @@ def _pair_edges(pairs: DataFrame, side: str, layer: DataFrame) -> DataFrame:
         ((F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))).alias("slope"),
         F.when(F.col("xa") < F.col("xb"), 1.0).otherwise(-1.0).alias("turn"),
     )
-    met = overlap_join(pairs.select("a", "b", "x0", "x1", "base"), e, [side], ("x",))
+    met = overlap_join(pairs.select("a", "b", "x0", "x1", "base"), e, [side], ("x",), strips)
     low, high = F.greatest("l_x0", "r_x0"), F.least("l_x1", "r_x1")
     at = F.col("r_y_low") + (low - F.col("r_x0")) * F.col("r_slope") - F.col("l_base")
     return met.filter(low < high).select(
         F.col("l_a").alias("a"), F.col("l_b").alias("b"), F.col("r_part").alias("part"), F.col("r_ring").alias("ring"),
-        (low - F.col("l_x0")).alias("x0"), (high - F.col("l_x0")).alias("x1"),
+        low.alias("x0"), high.alias("x1"),
         at.alias("y"), F.col("r_slope").alias("slope"), F.col("r_turn").alias("turn"),
     )
 
@@ -162,8 +162,10 @@ def intersections(left: DataFrame, right: DataFrame, pairs: DataFrame | None = N
     """
     left, right = prepared(left), prepared(right)
     found = stage(candidates(left, right) if pairs is None else pairs)
-    ea, eb = _pair_edges(found, "a", left), _pair_edges(found, "b", right)
-    met = overlap_join(ea, eb, ["a", "b"], ("x",))
+    spans = [e.select(F.least("xa", "xb").alias("x0"), F.greatest("xa", "xb").alias("x1")) for e in (left, right)]
+    strips = partition_of(*spans, ("x",))
+    ea, eb = _pair_edges(found, "a", left, strips), _pair_edges(found, "b", right, strips)
+    met = overlap_join(ea, eb, ["a", "b"], ("x",), strips)
     rings = (
         _pieces(met)
         .groupBy(

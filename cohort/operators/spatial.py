@@ -15,7 +15,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 SAMPLE = 4096
@@ -92,39 +92,40 @@ def learn(sample: list[Extent], rows: int, axes: int) -> Partition:
     return Partition(cuts, first, leaves)
 
 
-def _number(x: float) -> str:
-    return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
-
-
-def _array(items: list[str], kind: str) -> str:
-    return f"array({', '.join(items)})" if items else f"cast(array() as array<{kind}>)"
+def _numbers(values: Sequence[float], kind: str = "double") -> str:
+    """A list of numbers as one constant, which costs the planner less than a literal each."""
+    text = ",".join("Infinity" if v == math.inf else "-Infinity" if v == -math.inf else repr(v) for v in values)
+    return f"cast({f'split({text!r}, {chr(44)!r})' if values else 'array()'} as array<{kind}>)"
 
 
 def _part(cuts: str, value: str) -> str:
     return f"size(filter({cuts}, c -> c <= {value}))"
 
 
+def _offsets(lists: Sequence[list]) -> str:
+    return _numbers([sum(map(len, lists[:n])) for n in range(len(lists) + 1)], "int")
+
+
 def deal(df: DataFrame, axes: Sequence[str], partition: Partition) -> DataFrame:
     """The rows once for each cell they touch: ``_part_*`` and ``_cell_*`` name it, ``_leaf`` describes its leaf."""
-    df = df.dropna(subset=[f"{a}{k}" for a in axes for k in (0, 1)])
-    last = _array([_array([_number(c) for c in own], "double") for own in partition.cuts], "array<double>")
-    if len(axes) == 2:
-        first = _array([_number(c) for c in partition.first], "double")
-        df = df.withColumn("_part_0", F.explode(F.expr(f"sequence({_part(first, f'{axes[0]}0')}, {_part(first, f'{axes[0]}1')})")))
-    else:
-        df = df.withColumn("_part_0", F.lit(0))
-    own = f"element_at({last}, _part_0 + 1)"
-    df = df.withColumn("_part_1", F.explode(F.expr(f"sequence({_part(own, f'{axes[-1]}0')}, {_part(own, f'{axes[-1]}1')})")))
-    leaves = _array([_array([_array([_number(x) for x in leaf], "double") for leaf in row], "array<double>") for row in partition.leaves], "array<array<double>>")
-    df = df.withColumn("_leaf", F.expr(f"element_at(element_at({leaves}, _part_0 + 1), _part_1 + 1)"))
-    for n, a in enumerate(axes):
-        df = df.withColumn(f"_cell_{n}", F.explode(F.sequence(_cell(n, F.col(f"{a}0")), _cell(n, F.col(f"{a}1")))))
+    first, begin, width = _numbers(partition.first), _offsets(partition.cuts), 5 * len(axes)
+    own = f"slice({_numbers([c for cuts in partition.cuts for c in cuts])}, {begin}[_part_0] + 1, {begin}[_part_0 + 1] - {begin}[_part_0])"
+    leaves = _numbers([x for row in partition.leaves for leaf in row for x in leaf])
+    steps = [
+        f"explode(sequence({_part(first, f'{axes[0]}0')}, {_part(first, f'{axes[0]}1')})) as _part_0" if len(axes) == 2 else "0 as _part_0",
+        f"explode(sequence({_part(own, f'{axes[-1]}0')}, {_part(own, f'{axes[-1]}1')})) as _part_1",
+        f"slice({leaves}, ({_offsets(partition.leaves)}[_part_0] + _part_1) * {width} + 1, {width}) as _leaf",
+        *[f"explode(sequence({_cell(n, f'{a}0')}, {_cell(n, f'{a}1')})) as _cell_{n}" for n, a in enumerate(axes)],
+    ]
+    df = df.filter(" and ".join(f"{a}{k} is not null" for a in axes for k in (0, 1)))
+    for step in steps:
+        df = df.selectExpr("*", step)
     return df
 
 
-def _cell(axis: int, value: Column, leaf: str = "_leaf") -> Column:
-    low, side, cells = (F.get(leaf, F.lit(5 * axis + k)) for k in (2, 3, 4))
-    return F.least(F.greatest(F.floor((value - low) / side), F.lit(0)), cells.cast("bigint") - 1)
+def _cell(axis: int, value: str) -> str:
+    low, side, cells = (f"_leaf[{5 * axis + k}]" for k in (2, 3, 4))
+    return f"least(greatest(floor(({value} - {low}) / {side}), 0), cast({cells} as bigint) - 1)"
 
 
 def _sampled(left: DataFrame, right: DataFrame, axes: Sequence[str]) -> tuple[list[Extent], int]:
@@ -136,21 +137,29 @@ def _sampled(left: DataFrame, right: DataFrame, axes: Sequence[str]) -> tuple[li
     return [tuple((float(r[2 * n]), float(r[2 * n + 1])) for n in range(len(axes))) for r in picked], seen.get["rows"]
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], axes: Sequence[str] = ("x", "y")) -> DataFrame:
+def partition_of(left: DataFrame, right: DataFrame, axes: Sequence[str] = ("x", "y")) -> Partition:
+    """A partition that balances joins of the two sides, and of what is made from them."""
+    return learn(*_sampled(left, right, axes), len(axes))
+
+
+def overlap_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], axes: Sequence[str] = ("x", "y"), partition: Partition | None = None
+) -> DataFrame:
     """Pairs with equal ``keys`` whose closed extents overlap on every axis.
 
     Both sides carry ``{axis}0`` and ``{axis}1`` with ``{axis}0 <= {axis}1``; all columns come back prefixed ``l_`` and
-    ``r_``. Rows without an end have no extent and meet nothing. The sides are read twice, so pass cheap or written ones.
+    ``r_``. Rows without an end have no extent and meet nothing. Without a ``partition`` the sides are read once more to
+    learn it, so pass cheap or written ones.
     """
-    partition = learn(*_sampled(left, right, axes), len(axes))
+    partition = partition or partition_of(left, right, axes)
     places = ["_part_0", "_part_1", *[f"_cell_{n}" for n in range(len(axes))]]
     lhs, rhs = (
-        deal(df, axes, partition).select(*keys, *places, *(["_leaf"] if prefix == "l_" else []), *[F.col(c).alias(prefix + c) for c in df.columns])
+        deal(df, axes, partition).selectExpr(*keys, *places, *(["_leaf"] if prefix == "l_" else []), *[f"`{c}` as `{prefix}{c}`" for c in df.columns])
         for df, prefix in ((left, "l_"), (right, "r_"))
     )
-    met = lhs.join(rhs, [*keys, *places])
+    rules = []
     for n, x in enumerate(axes):
-        low = F.greatest(f"l_{x}0", f"r_{x}0")
-        here = (low >= F.get("_leaf", F.lit(5 * n))) & (low < F.get("_leaf", F.lit(5 * n + 1))) & (_cell(n, low) == F.col(f"_cell_{n}"))
-        met = met.filter((low <= F.least(f"l_{x}1", f"r_{x}1")) & here)
-    return met.select(*[f"l_{c}" for c in left.columns], *[f"r_{c}" for c in right.columns])
+        low = f"greatest(l_{x}0, r_{x}0)"
+        rules += [f"{low} <= least(l_{x}1, r_{x}1)", f"{low} >= _leaf[{5 * n}]", f"{low} < _leaf[{5 * n + 1}]", f"{_cell(n, low)} = _cell_{n}"]
+    met = lhs.join(rhs, [*keys, *places]).filter(" and ".join(rules))
+    return met.selectExpr(*[f"`l_{c}`" for c in left.columns], *[f"`r_{c}`" for c in right.columns])
