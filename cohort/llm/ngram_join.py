@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort.llm.batches import over_batches, texts_of
@@ -270,34 +270,43 @@ def _by_differences(members: DataFrame, sets: DataFrame, rule: Rule) -> list[Dat
 
     * without any common difference if ``f(x) + f(y) <= k``; then both link to the member with the smallest ``f`` too;
     * by removed shingles alone only if ``f(x) + percent * n(y) <= k`` and the same the other way round, which for an x that
-      is not in the star needs a y with ``percent * n(y)`` below the smallest ``f``;
-    * otherwise they share an added shingle. Lists of added shingles that are costly make the families of the next round.
+      is not in the star needs a y with ``percent * n(y)`` below the smallest ``f``, and the smallest n as a partner at best;
+    * otherwise they share added shingles: all of ``o`` but the removed ones, of which there are at most the smaller ``gone``.
+      With the added shingles that others of the family hold too in one order, rarest first, the first common one has at
+      least so many left, itself counted, in both lists. Places behind that are not matched, and shingles of one holder
+      never move. If the first common one is costly, so are all, and the pair meets in a family of the next round.
     """
     p, q = rule.percent, 100 + rule.percent
+    # What any partner of a row must share with it in added shingles; a partner of a row of the star is outside the star.
+    alone = f"greatest({p} * n + if(star, k - least_f + 1, least_f), f + {p} * greatest(({p} * n + 99) div 100, least_n)) - k"
+    needs = f"greatest(1, (a.f + b.f - a.k + {q - 1}) div {q} - least(a.gone, b.gone))"
     edges: list[DataFrame] = []
     for turn in range(ROUNDS):
         differences = stage(_differences(members, sets))
-        values = differences.select("family", "doc_id", "n", (p * F.col("n") + q * F.col("gone")).cast("long").alias("f"), (q * F.col("base")).cast("long").alias("k"))
-        first = values.groupBy("family").agg(F.min(F.struct("f", "doc_id")).alias("_first"))
+        values = differences.select("family", "doc_id", "n", "gone", (p * F.col("n") + q * F.col("gone")).cast("long").alias("f"), (q * F.col("base")).cast("long").alias("k"))
+        first = values.groupBy("family").agg(F.min(F.struct("f", "doc_id")).alias("_first"), F.min("n").alias("least_n"))
         values = values.join(first, "family").withColumn("star", F.col("f") + F.col("_first.f") <= F.col("k"))
-        values = stage(values.select("family", "doc_id", "n", "f", "k", "star", F.col("_first.f").alias("least_f"), F.col("_first.doc_id").alias("first")))
+        values = stage(values.select("family", "doc_id", "n", "gone", "f", "k", "star", "least_n", F.col("_first.f").alias("least_f"), F.col("_first.doc_id").alias("first")))
         edges.append(values.filter("star and doc_id <> first").select(F.col("doc_id").alias("x"), F.col("first").alias("y")))
 
         def listed(column: str, among: DataFrame, differences: DataFrame = differences) -> DataFrame:
             packed = differences.select("doc_id", "family", F.col(column).alias("tokens"))
-            return _unpacked(packed, "family").join(among, ["doc_id", "family"])
+            return _unpacked(packed, "family").join(among.drop("first"), ["doc_id", "family"])
 
-        removed = listed("removed", values.filter(f"not star or {p} * n < least_f"))
+        removed = listed("removed", values.filter(f"if(star, {p} * n < least_f, f + {p} * least_n <= k)"))
         by_removed = _pairs(removed, ["family", "h"], rule, f"not (a.star and b.star) and a.f + {p} * b.n <= a.k and b.f + {p} * a.n <= a.k")
-        added = stage(listed("added", values.select("family", "doc_id", "n", "star")))
-        costly = stage(_costly(added, ["family", "h"])) if turn + 1 < ROUNDS else None
-        cheap = added.join(costly, ["family", "h"], "left_anti") if costly is not None else added
-        by_added = _pairs(cheap, ["family", "h"], rule, "not (a.star and b.star)")
+        added = stage(listed("added", values))
+        held = added.groupBy("family", "h").agg(F.count(F.lit(1)).alias("_held"), F.min("doc_id").alias("_leader")).filter("_held > 1")
+        from_last = Window.partitionBy("family", "doc_id").orderBy(F.desc("_held"), F.desc("h"))
+        ranked = added.join(held, ["family", "h"]).withColumn("left", F.row_number().over(from_last))
+        ranked = stage(ranked.filter(f"left >= ({alone} + {q - 1}) div {q}"))
+        costly = F.col("_held") > (COSTLY if turn + 1 < ROUNDS else OPEN)
+        by_added = _pairs(ranked.filter(~costly), ["family", "h"], rule, f"not (a.star and b.star) and least(a.left, b.left) >= {needs}")
         pairs = by_removed.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).unionByName(by_added.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")))
         edges.append(verified(pairs.distinct(), sets, rule))
-        if costly is None or costly.isEmpty():
+        members = ranked.filter(costly).select("doc_id", "h", "_leader")
+        if members.isEmpty():
             break
-        members = stage(added.join(costly, ["family", "h"]).select("doc_id", "h", "_leader"))
     return edges
 
 

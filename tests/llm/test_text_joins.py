@@ -262,5 +262,43 @@ def test_groups_equal_all_pairs(spark, monkeypatch, shingle, percent, costly):
     assert rows_of(ngram_join.near_groups(documents(spark, rows, extra=True), shingle, percent)) == plain_groups(rows, shingle, percent)
 
 
+def two_radii(rng, size):
+    """Copies of one text near its centre and far from it; the far ones share some of their edits, so a few of them link."""
+    words = prose(rng, 100)
+    places = [(at, word) for at in range(0, 100, 3) for word in ("one", "two")]
+    rows = [(1, " ".join(words))]
+    for k in range(size):
+        copy = list(words)
+        for at, word in rng.sample(places[: rng.choice((9, 14, len(places)))], rng.choice((0, 1, 2, 4, 5, 8))):
+            copy[at] = word
+        del copy[len(copy) - rng.randrange(3) :]
+        rows.append((2 + k, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "shingle", "percent", "costly", "rounds"), [(1, 5, 80, 2, 4), (3, 3, 90, 3, 2)])
+def test_groups_with_far_copies_equal_all_pairs(spark, monkeypatch, seed, shingle, percent, costly, rounds):
+    monkeypatch.setattr(ngram_join, "COSTLY", costly)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    rows = two_radii(random.Random(seed), 150)
+    assert rows_of(ngram_join.near_groups(documents(spark, rows), shingle, percent)) == plain_groups(rows, shingle, percent)
+
+
+def test_far_copies_are_matched_rarest_first(spark, monkeypatch):
+    """Differences with one shared edit among many do not make pairs: the work on a group does not follow the square of its size."""
+    monkeypatch.setattr(ngram_join, "COSTLY", 20)
+    rng, verified, pairs = random.Random(7), ngram_join.verified, []
+    monkeypatch.setattr(ngram_join, "verified", lambda found, sets, rule: pairs.append(found.count()) or verified(found, sets, rule))
+    words = prose(rng, 100)
+    rows = [(1, " ".join(words))]
+    for k in range(120):
+        copy = list(words)
+        for n, at in enumerate(rng.sample(range(2, 98, 5), 6)):
+            copy[at] = "shared" if n == 0 else f"own{k}n{n}"
+        rows.append((2 + k, " ".join(copy)))
+    assert rows_of(ngram_join.near_groups(documents(spark, rows), 5, 80)) == plain_groups(rows, 5, 80)
+    assert sum(pairs[1:]) <= len(rows)
+
+
 def test_groups_of_an_empty_table(spark):
     assert ngram_join.near_groups(documents(spark, [(1, "a")]).limit(0)).count() == 0
