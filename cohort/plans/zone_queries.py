@@ -465,7 +465,7 @@ def _(f):
 
 shared("x_sections", "select zone_id, 'old' as vintage, unnest(old_ids) as section_id from x_zones union all select zone_id, 'new', unnest(new_ids) from x_zones")
 shared("x_section_parents", """
-select s.zone_id, s.vintage, s.section_id, count(distinct m.barrio) as n, list(distinct m.district || '/' || m.barrio) filter (m.barrio is not null) as p
+select s.zone_id, s.vintage, s.section_id, count(distinct m.district || '/' || m.barrio) as n, list(distinct m.district || '/' || m.barrio) filter (m.barrio is not null) as p
 from x_sections s left join fx_membership m on m.vintage = s.vintage and m.section_id = s.section_id group by all""")
 shared("x_zone_parents", """
 select zone_id, list_sort(list_distinct(flatten(list(p) filter (vintage = 'old' and p is not null)))) as op, list_sort(list_distinct(flatten(list(p) filter (vintage = 'new' and p is not null)))) as np,
