@@ -634,8 +634,11 @@ def _(f):
 
 
 @query("snk12_changed_payloads", """
-select url as name, case when page_id % 9 = 4 then 'missing' else 'changed' end as problem from pages where page_id % 9 = 4 or page_id % 7 = 0
-union all select url, 'unrecorded' from pages where false""")
+with recorded as (select url as name, sha256(case when page_id % 7 = 0 then html || '!' else html end) as sha from pages),
+found as (select url as name, sha256(html) as sha from pages where page_id % 9 <> 4)
+select name, case when name in (select name from found) then 'changed' else 'missing' end as problem from recorded r
+where not exists (select 1 from found f where f.name = r.name and f.sha = r.sha)
+union all select name, 'unrecorded' from found where name not in (select name from recorded)""")
 def _(f):
     pages = f.table("pages").select("page_id", F.col("url").alias("path"), F.col("html").alias("content"))
     recorded = files.inventory(pages.withColumn("content", F.when(F.col("page_id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Words that mark a link to a data resource.
 LINK_TOKENS = ("download", "resource", ".zip", ".csv", ".rdf", "historico")
+PAYLOAD = ["name", "sha256", "bytes"]
 
 
 def payloads(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -33,23 +34,26 @@ def file_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> Data
 
 
 def verify(lock: DataFrame, found: DataFrame) -> DataFrame:
-    """Each locked source: passed when a payload has its checksum and size.
+    """Each locked source, once: passed when a payload of its name has its checksum and size.
 
-    ``lock`` is (name, sha256, bytes) plus provenance columns; ``found`` is an inventory.
+    ``lock`` is (name, sha256, bytes) plus provenance columns; ``found`` is an inventory. A name may have several payloads.
     """
-    have = found.select("name", F.col("sha256").alias("_sha"), F.col("bytes").alias("_bytes"))
-    good = (F.col("sha256") == F.col("_sha")) & (F.col("bytes") == F.col("_bytes"))
-    joined = lock.join(have, "name", "left")
-    return joined.withColumn("passed", F.coalesce(good, F.lit(False))).drop("_sha", "_bytes")
+    have = found.select(*PAYLOAD).distinct().withColumn("passed", F.lit(True))
+    joined = lock.join(have, PAYLOAD, "left")
+    return joined.select("name", *[c for c in lock.columns if c != "name"], F.coalesce("passed", F.lit(False)).alias("passed"))
 
 
 def changed(recorded: DataFrame, found: DataFrame) -> DataFrame:
-    """Recorded outputs that are gone or differ now, and files nobody recorded."""
-    now = found.select("name", F.col("sha256").alias("_sha"), F.col("bytes").alias("_bytes"))
-    joined = recorded.join(now, "name", "full")
-    kind = F.when(F.col("sha256").isNull(), "unrecorded").when(F.col("_sha").isNull(), "missing").when(
-        (F.col("sha256") != F.col("_sha")) | (F.col("bytes") != F.col("_bytes")), "changed")
-    return joined.select("name", kind.alias("problem")).filter("problem is not null")
+    """Recorded outputs that are gone or differ now, and files nobody recorded.
+
+    Where a name has several payloads, each recorded one is looked for among all of the name: it is ``missing`` when none is
+    left, ``changed`` when none equals it.
+    """
+    lost = recorded.join(found.select(*PAYLOAD).distinct(), PAYLOAD, "left_anti").select("name")
+    named = found.select("name").distinct().withColumn("problem", F.lit("changed"))
+    differ = lost.join(named, "name", "left").select("name", F.coalesce("problem", F.lit("missing")).alias("problem"))
+    extra = found.join(recorded.select("name"), "name", "left_anti").select("name", F.lit("unrecorded").alias("problem"))
+    return differ.unionByName(extra)
 
 
 def sniff(files: DataFrame, name: str = "path", kind: str = "kind") -> DataFrame:
