@@ -72,11 +72,14 @@ def guard_groups(df: DataFrame, by: Sequence[str], *, single: Mapping[str, Colum
 
 
 def coverage_gaps(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys wanted but absent (``missing``) and present but not wanted (``unexpected``)."""
-    have, want = df.select(*keys).distinct(), wanted.select(*keys).distinct()
-    missing = want.join(have, list(keys), "left_anti").withColumn("gap", F.lit("missing"))
-    extra = have.join(want, list(keys), "left_anti").withColumn("gap", F.lit("unexpected"))
-    return missing.unionByName(extra)
+    """Keys wanted but absent (``missing``) and present but not wanted (``unexpected``); missing values are equal.
+
+    One aggregation over both sides tells where a key was seen, so each is read and shuffled once.
+    """
+    sides = [side.select(*keys, F.lit(have).alias("_have")) for side, have in ((df, True), (wanted, False))]
+    seen = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.bool_or("_have").alias("_have"), F.bool_and("_have").alias("_only"))
+    gap = F.when(~F.col("_have"), "missing").when(F.col("_only"), "unexpected")
+    return seen.select(*keys, gap.alias("gap")).filter("gap is not null")
 
 
 def covers(df: DataFrame, wanted: DataFrame, keys: Sequence[str], *, exact: bool = True) -> DataFrame:

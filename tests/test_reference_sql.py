@@ -58,3 +58,23 @@ def test_payloads_that_share_a_name(spark, tmp_path, name):
     assert ours == theirs
     pages = duckdb.sql(f"select count(*) from '{path}/pages.parquet'").fetchall()[0][0]
     assert name != "src15_verified_payloads" or len(ours) == pages
+
+
+def test_key_coverage_reads_each_side_once(spark):
+    from cohort.contracts import coverage_gaps
+
+    keys = "a int, b string"
+    have, want = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "z")], keys), spark.createDataFrame([(1, "x"), (2, None), (4, None)], keys)
+    gaps = coverage_gaps(have, want, ["a", "b"])
+    assert sorted(map(tuple, gaps.collect())) == [(3, "z", "unexpected"), (4, None, "missing")]
+    plan = entry_points.queries()["con1_key_coverage"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+
+
+def test_pooled_hierarchy_overlays_once(spark, monkeypatch):
+    from cohort.plans import zone_queries
+
+    calls, whole = [], zone_queries.overlay
+    monkeypatch.setattr(zone_queries, "overlay", lambda f: calls.append(f) or whole(f))
+    entry_points.queries()["hie7_pooled_hierarchy"](spark, SMALL)
+    assert len(calls) == 1
