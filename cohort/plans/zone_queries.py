@@ -592,14 +592,18 @@ def _(f):
     return parents.exceptions(zones, a)
 
 
-def members(f: Fixtures, level: str) -> DataFrame:
+def named_parents(f: Fixtures) -> DataFrame:
     """Parents named for the sections of each zone, in both vintages."""
     zones, _ = overlay(f)
     walk = xwk.crosswalk(zones).select("vintage", "source_id", "zone_id")
     named = f.sql("""
 select section_id as source_id, vintage, 'R' || cast(n_regionkey as string) as district, barrio
 from fx_membership join nation on 'N' || cast(n_nationkey as string) = barrio""")
-    return named.join(walk, ["vintage", "source_id"]).select("zone_id", "vintage", F.col(level).alias("code"))
+    return stage(named.join(walk, ["vintage", "source_id"]).select("zone_id", "vintage", "district", "barrio"))
+
+
+def members(named: DataFrame, level: str) -> DataFrame:
+    return named.select("zone_id", "vintage", F.col(level).alias("code"))
 
 
 shared("x_named", """
@@ -624,13 +628,13 @@ ZONE_POOLS = "select distinct m.zone_id, '{prefix}' || array_to_string(codes, '+
 
 @query("hie6_pooled_parents", _pool_sql("barrio", "B-", POOLS))
 def _(f):
-    pools, _ = parents.pool(members(f, "barrio"), "B-")
+    pools, _ = parents.pool(members(named_parents(f), "barrio"), "B-")
     return flat(pools)
 
 
 @query("hie6_zone_pools", _pool_sql("district", "D-", ZONE_POOLS))
 def _(f):
-    _, zones = parents.pool(members(f, "district"), "D-")
+    _, zones = parents.pool(members(named_parents(f), "district"), "D-")
     return zones
 
 
@@ -646,8 +650,9 @@ union all select barrio_id, replace(substr(barrio_id, 3), '+', ' + '), 'barrio',
 union all select district_id, replace(substr(district_id, 3), '+', ' + '), 'district', 'ALL' from j group by 1
 union all select 'ALL', 'ALL', 'city', null""")
 def _(f):
-    bp, bz = parents.pool(members(f, "barrio"), "B-")
-    dp, dz = parents.pool(members(f, "district"), "D-")
+    named = named_parents(f)
+    bp, bz = parents.pool(members(named, "barrio"), "B-")
+    dp, dz = parents.pool(members(named, "district"), "D-")
     labels = f.sql("select 'barrio' as level, 'N' || cast(n_nationkey as string) as code, 'N' || cast(n_nationkey as string) as name from nation "
                    "union all select 'district', 'R' || cast(r_regionkey as string), 'R' || cast(r_regionkey as string) from region")
     return parents.pooled_hierarchy(bz, dz, bp, dp, labels, "ALL")
