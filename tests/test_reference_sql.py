@@ -78,3 +78,17 @@ def test_pooled_hierarchy_overlays_once(spark, monkeypatch):
     monkeypatch.setattr(zone_queries, "overlay", lambda f: calls.append(f) or whole(f))
     entry_points.queries()["hie7_pooled_hierarchy"](spark, SMALL)
     assert len(calls) == 1
+
+
+def test_components_contract_before_stars(spark, monkeypatch):
+    from cohort.operators import graph
+
+    def stars(edges):
+        raise AssertionError("stars over all edges")
+
+    pairs = spark.range(64).selectExpr("id * 2 as src", "id * 2 + 1 as dst")
+    nodes = spark.range(130).withColumnRenamed("id", "node")
+    chain = spark.range(129).selectExpr("id as src", "id + 1 as dst")
+    assert set(map(tuple, graph.components(chain, nodes).collect())) == {(n, 0) for n in range(130)}
+    monkeypatch.setattr(graph, "_large_star", stars)
+    assert dict(map(tuple, graph.components(pairs, nodes).collect())) == {n: n - n % 2 for n in range(128)} | {128: 128, 129: 129}
