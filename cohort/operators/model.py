@@ -55,6 +55,16 @@ def survivors(start: DataFrame, survival_table: DataFrame, params: Params, by: S
     )
 
 
+def exact_expected(start: DataFrame, survival_table: DataFrame, tree: hierarchy.Tree, params: Params) -> DataFrame:
+    """``(area_id, age, nationality, expected)``: expected survivors of each cell to nine decimals, half up, and their exact sums.
+
+    A sum of doubles depends on its order, and so do its last digits; texts and checksums need these.
+    """
+    cells = survivors(start, survival_table, params).withColumn("expected", F.floor(F.col("expected") * 1e9 + 0.5).cast("decimal(28,0)"))
+    summed = hierarchy.roll_up(cells, tree, ["age", "nationality"], ["expected"])
+    return summed.withColumn("expected", F.col("expected").cast("decimal(27,0)") * F.lit("0.000000001").cast("decimal(10,9)"))
+
+
 def combine(aged: DataFrame, end: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Stack shifted and observed cells; absent sides become 0 when summed (no full outer join)."""
     zero = F.lit(0.0)

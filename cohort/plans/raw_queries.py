@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from cohort.contracts import coverage_gaps
 from cohort.functions import expressions as ex
 from cohort.operators import bands, controls, model, mortality, normalise, profiling, qa
-from cohort.operators.staging import shared_folder
+from cohort.operators.staging import shared_folder, stage
 from cohort.params import Params
-from cohort.plans.core_queries import R, composition, detail, results, variant_totals
+from cohort.plans.core_queries import R, composition, detail, results, tree, variant_totals
 from cohort.plans.fixtures import Fixtures
 from cohort.plans.registry import query, rounded, shared
 from cohort.sources import files, sinks, tables
@@ -585,14 +585,27 @@ def _(f):
 
 
 @query("snk7_area_payloads", """
-with p as (select area_id, list({'age': age, 'nationality': nationality, 'baseline': baseline::decimal(18,6), 'expected': expected::decimal(18,6), 'actual': actual::decimal(18,6)} order by age, nationality) as profile
-  from x_profile where cohort_eligible group by 1),
-j as (select i.area_id, to_json({'area_id': i.area_id, 'name': name, 'level': level, 'boundary_status': boundary_status, 'expected': expected::decimal(18,6), 'actual': actual::decimal(18,6), 'profile': profile})::varchar as body
-  from x_index i join p on p.area_id = i.area_id)
+with s as (select cast(age - (year - 2015) as int) as age, sex, list_reduce(list(1 - qx order by year), lambda a, b: a * b) as survival
+  from fx_mortality where year between 2015 and 2024 and age >= year - 2015 group by 1, 2 having count(*) = 10),
+n as (select ancestor_id as area_id, p.age + 10 as age, nationality, sum(cast(floor(population * survival * 1e9 + 0.5) as bigint)) as nano
+  from fx_population_start p join s on s.age = p.age and s.sex = p.sex join x_closure on geography_id = area_id where p.age + 10 < 100 group by all),
+t as (select area_id, sum(nano) as nano from n group by 1),
+p as (select area_id, list({'age': age, 'nationality': nationality, 'baseline': baseline::decimal(18,6), 'expected': (coalesce(nano, 0)::decimal(28,0) * 0.000000001::decimal(10,9))::decimal(18,6),
+    'actual': actual::decimal(18,6)} order by age, nationality) as profile
+  from x_profile left join n using (area_id, age, nationality) where cohort_eligible group by 1),
+j as (select i.area_id, to_json({'area_id': i.area_id, 'name': name, 'level': level, 'boundary_status': boundary_status,
+    'expected': (coalesce(nano, 0)::decimal(28,0) * 0.000000001::decimal(10,9))::decimal(18,6), 'actual': actual::decimal(18,6), 'profile': profile})::varchar as body
+  from x_index i join p on p.area_id = i.area_id left join t on t.area_id = i.area_id)
 select area_id, body, sha256(body) as sha256, strlen(body)::int as bytes from j""")
 def _(f):
     _, prof, index = results(f)
-    return sinks.area_payloads(prof.filter("cohort_eligible"), index)
+    exact = stage(model.exact_expected(f.population_start, mortality.survival(f.mortality, P.start_year, P.end_year), tree(f), P))
+    total = exact.groupBy("area_id").agg(F.sum("expected").alias("expected"))
+
+    def exactly(df: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+        return df.drop("expected").join(sums, keys, "left").withColumn("expected", F.coalesce("expected", F.lit(0)))
+
+    return sinks.area_payloads(exactly(prof.filter("cohort_eligible"), exact, ["area_id", "age", "nationality"]), exactly(index, total, ["area_id"]))
 
 
 @query("snk7_sensitivity_payloads")

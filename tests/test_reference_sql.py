@@ -92,3 +92,22 @@ def test_components_contract_before_stars(spark, monkeypatch):
     assert set(map(tuple, graph.components(chain, nodes).collect())) == {(n, 0) for n in range(130)}
     monkeypatch.setattr(graph, "_large_star", stars)
     assert dict(map(tuple, graph.components(pairs, nodes).collect())) == {n: n - n % 2 for n in range(128)} | {128: 128, 129: 129}
+
+
+def test_expected_sums_are_exact(spark):
+    """Doubles would lose the smallest cell beside the large ones, and which digits they lose depends on their order."""
+    from decimal import Decimal
+
+    from cohort.operators import hierarchy, model
+    from cohort.params import Params
+
+    geographies = spark.createDataFrame([("a", "c"), ("b", "c"), ("c", None)], "area_id string, parent_id string")
+    start = spark.createDataFrame([("a", 30, "male", "ESP", 4 * 10**9), ("b", 30, "male", "ESP", 1), ("b", 30, "female", "ESP", 1)], "geography_id string, age int, sex string, nationality string, population bigint")
+    chance = spark.createDataFrame([(30, "male", 0.75), (30, "female", 0.000000001)], "age int, sex string, survival double")
+    got = {r.area_id: r.expected for r in model.exact_expected(start, chance, hierarchy.tree(geographies), Params()).collect()}
+    assert got == {"a": Decimal(3 * 10**9), "b": Decimal("0.750000001"), "c": Decimal("3000000000.750000001")}
+
+
+def test_area_payloads_equal_their_sql(spark):
+    ours, theirs = both(spark, "snk7_area_payloads", "/root/testdata/sf0.01")
+    assert ours == theirs and len(ours) > 30
