@@ -229,21 +229,36 @@ def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]
     pairs = met_twice.agg(F.count(F.lit(1)).alias("_met"), F.min(F.least("a.least", "b.least")).alias("_least")).filter("_met >= _least").select("x", "y")
     edges = [verified(pairs, sets, rule)]
 
-    opened = stage(dear.join(rows.filter("open").select("doc_id").distinct(), "doc_id", "left_semi"))
+    few = rows.filter("open").select("doc_id", F.lit(0).cast("long").alias("origin"), F.expr(f"n - ({rule.percent} * n + 99) div 100").alias("spare")).distinct()
+    opened = stage(dear.join(few, "doc_id"))
     if not opened.isEmpty():
         edges += _by_differences(opened, sets, rule)
     every = reduce(DataFrame.unionByName, edges).select(F.col("x").alias("src"), F.col("y").alias("dst"))
     return every, named.select("doc_id", "rep"), whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
 
 
+def _families(members: DataFrame) -> DataFrame:
+    """``doc_id, family, _dear``: the families that each document needs, and how many costly shingles it has there.
+
+    ``members`` has for each ``doc_id``, costly shingle ``h`` and ``origin`` the first holder ``_leader``, which names a family. A
+    partner lacks at most ``spare`` of the shingles that a document has in the origin where the two are to meet. With all costly
+    shingles in one order, largest families first, the first that two partners have in common is therefore among the first
+    ``spare + 1`` of both, and families behind these are not needed.
+    """
+    found = members.groupBy("origin", "doc_id", F.col("_leader").alias("family")).agg(F.count(F.lit(1)).alias("_dear"), F.min("spare").alias("spare"))
+    found = found.join(found.groupBy("family").agg(F.sum("_dear").alias("_weight")), "family")
+    before = Window.partitionBy("origin", "doc_id").orderBy(F.desc("_weight"), "family").rowsBetween(Window.unboundedPreceding, -1)
+    needed = found.withColumn("_before", F.coalesce(F.sum("_dear").over(before), F.lit(0))).filter("_before <= spare")
+    return needed.groupBy("doc_id", "family").agg(F.sum("_dear").alias("_dear"))
+
+
 def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """The difference of each member from the centre of its family: the member that has most costly shingles for its size.
 
     A family is whoever holds a costly shingle with the same first holder; so two documents with a common costly shingle
-    meet in a family, and as most shingles of a group have the same first holder, a document is in few families.
+    meet in a family, and as most shingles of a group have the same first holder, a document needs few families.
     """
-    share = members.groupBy("doc_id", F.col("_leader").alias("family")).agg(F.count(F.lit(1)).alias("_dear"))
-    in_family = stage(share.join(sets.select("doc_id", "n"), "doc_id"))
+    in_family = stage(_families(members).join(sets.select("doc_id", "n"), "doc_id"))
     centres = in_family.groupBy("family").agg(F.max(F.struct((F.col("_dear") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("id"))).alias("_top"))
     centre_sets = centres.select("family", (-F.col("_top.id")).alias("doc_id")).join(sets.select("doc_id", F.col("tokens").alias("centre")), "doc_id").drop("doc_id")
     joined = in_family.select("family", "doc_id").join(sets.select("doc_id", "n", "tokens"), "doc_id").join(centre_sets, "family")
@@ -274,7 +289,8 @@ def _by_differences(members: DataFrame, sets: DataFrame, rule: Rule) -> list[Dat
     * otherwise they share added shingles: all of ``o`` but the removed ones, of which there are at most the smaller ``gone``.
       With the added shingles that others of the family hold too in one order, rarest first, the first common one has at
       least so many left, itself counted, in both lists. Places behind that are not matched, and shingles of one holder
-      never move. If the first common one is costly, so are all, and the pair meets in a family of the next round.
+      never move. If the first common one is costly, so are all, and the pair meets in a family of the next round, in which
+      a document takes part with no more of them than it takes to meet all partners.
     """
     p, q = rule.percent, 100 + rule.percent
     # What any partner of a row must share with it in added shingles; a partner of a row of the star is outside the star.
@@ -299,12 +315,16 @@ def _by_differences(members: DataFrame, sets: DataFrame, rule: Rule) -> list[Dat
         held = added.groupBy("family", "h").agg(F.count(F.lit(1)).alias("_held"), F.min("doc_id").alias("_leader")).filter("_held > 1")
         from_last = Window.partitionBy("family", "doc_id").orderBy(F.desc("_held"), F.desc("h"))
         ranked = added.join(held, ["family", "h"]).withColumn("left", F.row_number().over(from_last))
-        ranked = stage(ranked.filter(f"left >= ({alone} + {q - 1}) div {q}"))
+        ranked = ranked.withColumn("least", F.expr(f"greatest(1, ({alone} + {q - 1}) div {q})"))
         costly = F.col("_held") > (COSTLY if turn + 1 < ROUNDS else OPEN)
+        ranked = stage(ranked.filter((F.col("left") >= F.col("least")) | costly))
         by_added = _pairs(ranked.filter(~costly), ["family", "h"], rule, f"not (a.star and b.star) and least(a.left, b.left) >= {needs}")
         pairs = by_removed.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).unionByName(by_added.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")))
         edges.append(verified(pairs.distinct(), sets, rule))
-        members = ranked.filter(costly).select("doc_id", "h", "_leader")
+        # A partner that is met by no other shingle shares ``least`` costly ones.
+        own = Window.partitionBy("family", "doc_id")
+        members = ranked.filter(costly).withColumn("spare", F.count(F.lit(1)).over(own) - F.col("least")).filter("spare >= 0")
+        members = members.select("doc_id", "h", "_leader", F.col("family").alias("origin"), "spare")
         if members.isEmpty():
             break
     return edges

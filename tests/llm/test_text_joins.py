@@ -297,5 +297,22 @@ def test_far_copies_with_one_shared_edit_equal_all_pairs(spark, monkeypatch):
     assert rows_of(ngram_join.near_groups(documents(spark, rows), 5, 80)) == plain_groups(rows, 5, 80)
 
 
+def test_documents_take_part_in_no_more_families_than_needed(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COSTLY", 5)
+    rng, made, differences = random.Random(11), [], ngram_join._differences
+
+    def counted(*args):
+        found = differences(*args)
+        made.append((found.count(), found.select("doc_id").distinct().count()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "_differences", counted)
+    bodies, endings = [prose(rng, 100) for _ in range(3)], [prose(rng, 8) for _ in range(3)]
+    # Each ending is held by copies of all bodies, so it leads to a family of its own.
+    rows = [(k, " ".join(edited(rng, bodies[k % 3], rng.randint(0, 3), VOCABULARY) + endings[k // 3 % 3])) for k in range(60)]
+    assert rows_of(ngram_join.near_groups(documents(spark, rows), 5, 80)) == plain_groups(rows, 5, 80)
+    assert 40 < made[0][0] <= 1.2 * made[0][1]
+
+
 def test_groups_of_an_empty_table(spark):
     assert ngram_join.near_groups(documents(spark, [(1, "a")]).limit(0)).count() == 0
