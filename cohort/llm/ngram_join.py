@@ -108,15 +108,16 @@ def sets_of(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _unpacked(sets: DataFrame, *more: str) -> DataFrame:
-    """A row for each shingle of ``tokens``: ``h``, ``doc_id`` and other long columns."""
+    """A row for each shingle of ``tokens``: ``h``, ``doc_id`` and other long or boolean columns."""
     names = ["doc_id", *more]
+    kinds = {n: pa.bool_() if kind == "boolean" else pa.int64() for n, kind in sets.dtypes}
 
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
             sizes = [len(t) // 8 for t in batch["tokens"]]
-            yield {"h": np.frombuffer(b"".join(batch["tokens"]), dtype=np.int64), **{n: np.repeat(np.array(batch[n], dtype=np.int64), sizes) for n in names}}
+            yield {"h": np.frombuffer(b"".join(batch["tokens"]), dtype=np.int64), **{n: np.repeat(np.array(batch[n], dtype=kinds[n].to_pandas_dtype()), sizes) for n in names}}
 
-    return over_batches(sets.select(*names, "tokens"), work, pa.schema([("h", pa.int64()), *[(n, pa.int64()) for n in names]]))
+    return over_batches(sets.select(*names, "tokens"), work, pa.schema([("h", pa.int64()), *[(n, kinds[n]) for n in names]]))
 
 
 def _adapted(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -289,12 +290,14 @@ def _by_differences(members: DataFrame, sets: DataFrame, rule: Rule) -> list[Dat
     * otherwise they share added shingles: all of ``o`` but the removed ones, of which there are at most the smaller ``gone``.
       With the added shingles that others of the family hold too in one order, rarest first, the first common one has at
       least so many left, itself counted, in both lists. Places behind that are not matched, and shingles of one holder
-      never move. If the first common one is costly, so are all, and the pair meets in a family of the next round, in which
-      a document takes part with no more of them than it takes to meet all partners.
+      never move. A shingle is costly here if it stands before those places in the lists of more than ``COSTLY`` documents.
+      If the first common one is costly, the pair meets in a family of the next round, in which a document takes part with
+      no more of its shingles from there on than it takes to meet all partners.
     """
     p, q = rule.percent, 100 + rule.percent
     # What any partner of a row must share with it in added shingles; a partner of a row of the star is outside the star.
-    alone = f"greatest({p} * n + if(star, k - least_f + 1, least_f), f + {p} * greatest(({p} * n + 99) div 100, least_n)) - k"
+    smallest = f"greatest(({p} * n + 99) div 100, least_n)"  # of its partners' sizes
+    alone = f"greatest({p} * n + if(star, k - least_f + 1, least_f), f + {p} * {smallest}) - k"
     needs = f"greatest(1, (a.f + b.f - a.k + {q - 1}) div {q} - least(a.gone, b.gone))"
     edges: list[DataFrame] = []
     for turn in range(ROUNDS):
@@ -306,25 +309,27 @@ def _by_differences(members: DataFrame, sets: DataFrame, rule: Rule) -> list[Dat
         edges.append(values.filter("star and doc_id <> first").select(F.col("doc_id").alias("x"), F.col("first").alias("y")))
 
         def listed(column: str, among: DataFrame, differences: DataFrame = differences) -> DataFrame:
-            packed = differences.select("doc_id", "family", F.col(column).alias("tokens"))
-            return _unpacked(packed, "family").join(among.drop("first"), ["doc_id", "family"])
+            packed = differences.select("doc_id", "family", F.col(column).alias("tokens")).join(among.drop("first"), ["doc_id", "family"])
+            return _unpacked(packed, *[c for c in among.columns if c not in ("doc_id", "first")])
 
-        removed = listed("removed", values.filter(f"if(star, {p} * n < least_f, f + {p} * least_n <= k)"))
+        removed = stage(listed("removed", values.filter(f"f + {p} * {smallest} <= k and (not star or {p} * n < least_f)")))
         by_removed = _pairs(removed, ["family", "h"], rule, f"not (a.star and b.star) and a.f + {p} * b.n <= a.k and b.f + {p} * a.n <= a.k")
         added = stage(listed("added", values))
         held = added.groupBy("family", "h").agg(F.count(F.lit(1)).alias("_held"), F.min("doc_id").alias("_leader")).filter("_held > 1")
         from_last = Window.partitionBy("family", "doc_id").orderBy(F.desc("_held"), F.desc("h"))
         ranked = added.join(held, ["family", "h"]).withColumn("left", F.row_number().over(from_last))
         ranked = ranked.withColumn("least", F.expr(f"greatest(1, ({alone} + {q - 1}) div {q})"))
-        costly = F.col("_held") > (COSTLY if turn + 1 < ROUNDS else OPEN)
-        ranked = stage(ranked.filter((F.col("left") >= F.col("least")) | costly))
-        by_added = _pairs(ranked.filter(~costly), ["family", "h"], rule, f"not (a.star and b.star) and least(a.left, b.left) >= {needs}")
+        ranked = stage(ranked)
+        prefix = ranked.filter("left >= least")
+        dear = prefix.groupBy("family", "h").agg(F.count(F.lit(1)).alias("_in")).filter(F.col("_in") > (COSTLY if turn + 1 < ROUNDS else OPEN)).select("family", "h")
+        dear = stage(dear)
+        by_added = _pairs(prefix.join(dear, ["family", "h"], "left_anti"), ["family", "h"], rule, f"not (a.star and b.star) and least(a.left, b.left) >= {needs}")
         pairs = by_removed.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).unionByName(by_added.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")))
         edges.append(verified(pairs.distinct(), sets, rule))
-        # A partner that is met by no other shingle shares ``least`` costly ones.
-        own = Window.partitionBy("family", "doc_id")
-        members = ranked.filter(costly).withColumn("spare", F.count(F.lit(1)).over(own) - F.col("least")).filter("spare >= 0")
-        members = members.select("doc_id", "h", "_leader", F.col("family").alias("origin"), "spare")
+        # All that a pair has in common stands from its first common shingle on, so from each one's first costly place on, and is ``least`` at least.
+        begin = prefix.join(dear, ["family", "h"]).groupBy("family", "doc_id").agg(F.max("left").alias("_from"))
+        members = ranked.join(begin, ["family", "doc_id"]).filter(F.col("left") <= F.col("_from"))
+        members = stage(members.select("doc_id", "h", "_leader", F.col("family").alias("origin"), (F.col("_from") - F.col("least")).alias("spare")))
         if members.isEmpty():
             break
     return edges

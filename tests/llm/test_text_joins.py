@@ -314,5 +314,25 @@ def test_documents_take_part_in_no_more_families_than_needed(spark, monkeypatch)
     assert 40 < made[0][0] <= 1.2 * made[0][1]
 
 
+def test_copies_that_keep_some_lines_move_few_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COSTLY", 8)
+    rng, moved, unpacked = random.Random(5), [], ngram_join._unpacked
+
+    def counted(sets, *more):
+        found = unpacked(sets, *more)
+        if "family" in more:
+            moved.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_unpacked", counted)
+    bodies = [[prose(rng, 25) for _ in range(4)] for _ in range(2)]
+    rows = []
+    for k in range(120):
+        kept = [line for line in bodies[k % 2] if rng.random() < 0.6] or bodies[k % 2]
+        rows.append((k, " ".join(word for line in kept for word in edited(rng, line, rng.randint(0, 1), VOCABULARY))))
+    assert rows_of(ngram_join.near_groups(documents(spark, rows), 5, 80)) == plain_groups(rows, 5, 80)
+    assert sum(moved) < 14_000
+
+
 def test_groups_of_an_empty_table(spark):
     assert ngram_join.near_groups(documents(spark, [(1, "a")]).limit(0)).count() == 0
