@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Words that mark a link to a data resource.
 LINK_TOKENS = ("download", "resource", ".zip", ".csv", ".rdf", "historico")
 PAYLOAD = ["name", "sha256", "bytes"]
+WHOLE = 64 << 20  # bytes of a file that may be one value
+LARGEST = (1 << 31) - 1  # bytes of a value that Spark can hold
+BLOCK = 4 << 20  # bytes of a larger file that are in memory at once
 
 
 def payloads(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -17,8 +24,11 @@ def payloads(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
 
     Spark leaves empty files out, so :func:`verify` reports a locked but empty file as failed.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select("path", "content")
+    return _listed(spark, folder, pattern).select("path", "content")
+
+
+def _listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
 
 
 def inventory(files: DataFrame, name: str = "path") -> DataFrame:
@@ -27,10 +37,38 @@ def inventory(files: DataFrame, name: str = "path") -> DataFrame:
                         F.octet_length("content").cast("bigint").alias("bytes"))
 
 
+def path_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Inventory of a folder by path.
+
+    A file of up to ``WHOLE`` bytes is read as one value. A larger one is hashed by the task that lists it, block by block, since
+    SHA-256 runs from start to end. Its worker opens it with Arrow, which need not reach what Spark's reader does: outside of
+    local or mounted folders only files too large for a value go that way.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length in zip(*batch.to_pydict().values(), strict=True):
+                digest, size = hashlib.sha256(), 0
+                scheme, rest = path.split(":", 1)
+                system, name = FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+                with system.open_input_stream(name, compression=None, buffer_size=0) as stream:
+                    while block := stream.read(BLOCK):
+                        digest.update(block)
+                        size += len(block)
+                if size != length:
+                    raise OSError(f"{path} has {length} bytes, and {size} were read")
+                yield pa.RecordBatch.from_pylist([{"name": path, "sha256": digest.hexdigest(), "bytes": size}])
+
+    listed = _listed(spark, folder, pattern)
+    whole = WHOLE if all(p.startswith("file:") for p in listed.inputFiles()) else LARGEST
+    small = inventory(listed.filter(F.col("length") <= whole))  # pushed into the scan, which then opens no larger file
+    large = listed.filter(F.col("length") > whole).select("path", "length")
+    return small.unionByName(large.mapInArrow(hashed, "name string, sha256 string, bytes bigint"))
+
+
 def file_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Inventory of a folder by file name."""
-    files = payloads(spark, folder, pattern).withColumn("path", F.regexp_extract("path", "([^/]+)$", 1))
-    return inventory(files)
+    return path_inventory(spark, folder, pattern).withColumn("name", F.regexp_extract("name", "([^/]+)$", 1))
 
 
 def verify(lock: DataFrame, found: DataFrame) -> DataFrame:

@@ -219,5 +219,4 @@ def write_reports(reports: Mapping[str, DataFrame], folder: str) -> None:
 
 def output_inventory(spark, folder: str) -> DataFrame:
     """Name, checksum and size of everything written below a folder."""
-    found = files.payloads(spark, folder).filter(~F.col("path").rlike("/[_.][^/]*$"))
-    return files.inventory(found)
+    return files.path_inventory(spark, folder).filter(~F.col("name").rlike("/[_.][^/]*$"))

@@ -1,7 +1,9 @@
 """Raw files, profiles, controls, parents, registry, payloads and writers."""
 
 import gzip
+import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +186,25 @@ def test_file_inventory_and_verification(spark, tmp_path):
     assert got == {"a.csv": (None, b"x,y".hex()), "b.csv": (None, b"z".hex())}
 
 
+def test_large_files_are_hashed_block_by_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "WHOLE", 1000)
+    content = {"a.csv": b"x" * 1000, "b c%20é.csv": bytes(range(256)) * 40, "c.csv.gz": gzip.compress(os.urandom(5000))}
+    for name, body in content.items():
+        (tmp_path / name).write_bytes(body)
+    with open(tmp_path / "d.csv", "wb") as sparse:  # no value of Spark's can hold it
+        sparse.truncate(2**31 + 5)
+    found = files.file_inventory(spark, str(tmp_path))
+    zeros = hashlib.sha256()
+    for _ in range(2**11):
+        zeros.update(bytes(2**20))
+    zeros.update(bytes(5))
+    expected = [(name, hashlib.sha256(body).hexdigest(), len(body)) for name, body in content.items()]
+    assert rows(found, "name", "sha256", "bytes") == sorted([*expected, ("d.csv", zeros.hexdigest(), 2**31 + 5)])
+    assert "LessThanOrEqual(length,1000)" in found._jdf.queryExecution().toString()
+    (tmp_path / "e").mkdir()
+    assert rows(files.path_inventory(spark, str(tmp_path), "a*"), "name") == [(f"file:{tmp_path}/a.csv",)]
+
+
 def test_sniffing_kinds(spark):
     df = spark.createDataFrame([("j", "json", b"[1,2,3]"), ("o", "json", b'{"a":1}'), ("h", "csv", b"<!DOCTYPE HTML><p>"), ("p", "pdf", b"%PDF-1.4"), ("q", "pdf", b"PDF"), ("e", "csv", b"")], "path string, kind string, content binary")
     got = {r.name: (r.problem, r.detail) for r in files.sniff(df).collect()}
