@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohort.llm import context_mixing as cm
@@ -162,6 +163,72 @@ def test_priced_pieces_cost_the_same():
     assert mixer.nats(cut) == pytest.approx(plain)
 
 
+def plain_phrases(text):
+    """The pieces of each phrase."""
+    cut, out = cm.cut_texts([text]), [[]]
+    for piece in (cut.pieces[k] for k in cut.which):
+        out[-1].append(piece)
+        if int(cm.names_of([piece])[0]) % cm.PHRASE == 0 or len(out[-1]) == cm.MOST:
+            out.append([])
+    return [tuple(p) for p in out if p]
+
+
+def plain_gains(texts, learnt, costs):
+    """What each text's phrases cost less for the phrase before them, counted phrase by phrase; ``costs`` are those of pieces."""
+    phrases = [plain_phrases(t) for t in texts]
+    costs = [[sum(own[k] for k in range(e - len(x), e)) for x, e in zip(p, np.cumsum([len(x) for x in p]), strict=True)] for p, own in zip(phrases, costs, strict=True)]
+    placed = [[*zip([None, *p], p, strict=False)] for p in phrases]
+    seen = Counter(x for p, known in zip(placed, learnt, strict=True) if known for x in p)
+    out = []
+    for p, known, own_costs in zip(placed, learnt, costs, strict=True):
+        out.append(0.0)
+        for (context, phrase), cost in zip(p, own_costs, strict=True):
+            seen[context, phrase] -= known
+            after = {x[1]: n for x, n in seen.items() if x[0] == context and n}
+            n, k = sum(after.values()), len(after)
+            out[-1] += math.log((after.get(phrase, 0) + k * math.exp(-cost)) / (n + k)) + cost if n else 0
+            seen[context, phrase] += known
+    return out
+
+
+def test_gains_equal_plain_counts(monkeypatch):
+    monkeypatch.setattr(cm, "SHARES", 5)
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices("abcd", k=rng.choice([0, 3, 9]))).encode() for _ in range(40)] + [b"", b"x" * 200 + b" x", b"\n" * 50, b" " * 50] * 2
+    learnt = np.array([rng.random() < 0.7 for _ in texts])
+    parts, costs = [], []
+    for at in (0, 25):  # two batches
+        cut = cm.cut_texts(texts[at : at + 25])
+        so_far = np.concatenate([np.cumsum([rng.choice([0.5, 3.0, 100.0]) for _ in range(n)]) for n in np.diff(cut.first)])
+        costs += [np.diff(so_far[a:b], prepend=0) for a, b in zip(cut.first[:-1], cut.first[1:], strict=True)]
+        dealt = [*cm._dealt(cut, so_far, learnt[at : at + 25])]
+        rows = {"share": [d[0] for d in dealt], "batch": [at] * len(dealt), **{c: [d[k] for d in dealt] for k, c in ((1, "name"), (2, "cost"), (3, "owner"))}}
+        parts.append(pa.RecordBatch.from_arrays([pa.array(rows.get(f.name, [None] * len(dealt)), type=f.type) for f in cm.WORKED], schema=cm.WORKED))
+    got = [0.0] * len(texts)
+    for share in range(cm.SHARES):  # tasks
+        some = [p.filter(pa.array([s == share for s in p.column("share").to_pylist()])) for p in parts]
+        for r in pa.Table.from_batches([*cm._gained(iter(some))], schema=cm.TEXTS).to_pylist():
+            for place, grains in zip(r["places"], r["grains"], strict=True):
+                got[r["batch"] + place] += grains / cm.GRAIN
+    expected = plain_gains(texts, learnt.tolist(), costs)
+    assert max(expected) > 90 and min(expected) < -1
+    assert got == pytest.approx(expected, abs=1e-3)
+
+
+def test_order_of_words_counts(spark):
+    """A text whose words follow one another as in learnt texts costs less than the same words in another order."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    lines = [" ".join(words[k : k + 20]) for k in range(0, 400, 20)]
+    learnt = [k for k in range(500) if zlib.crc32(str(k).encode()) % 10][:60]
+    a, b = [k for k in range(500) if zlib.crc32(str(k).encode()) % 10 == 0][:2]
+    other = lines[3].split() + lines[8].split()
+    rng.shuffle(other)
+    docs = [(k, "\n".join(rng.sample(lines, 6))) for k in learnt] + [(a, lines[3] + "\n" + lines[8]), (b, " ".join(other))]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in cm.score_texts(documents(spark, docs)).collect()}
+    assert got[a] < 0.5 * got[b]
+
+
 def test_packs_add_up():
     rng = np.random.default_rng(3)
     counts = [np.where(rng.random((cm.BLOCK, 2)) < 0.01, rng.integers(1, 10 ** (9 if k < 2 else 11), (cm.BLOCK, 2)), 0) for k in range(3)]
