@@ -1,7 +1,8 @@
 """License detection: ordered signature rules behind a keyword prefilter.
 
 Rules come from a table of licenses, each with the ways its name is written, put into several forms (a tag, a notice, a
-grant, a bare mention). A pass of one keyword automaton over the lower-cased text decides which rules run at all.
+grant, a bare mention). One expression over a column of lower-cased texts finds those with any keyword; most have none. In these,
+a pass of one keyword automaton, and the literals that all matches of a rule hold, decide which rules run at all.
 Overlapping detections are resolved by priority: a detection contained in one of higher rank is dropped.
 """
 
@@ -13,7 +14,9 @@ from dataclasses import dataclass
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from cohort.llm.batches import over_batches, texts_of
@@ -21,7 +24,7 @@ from cohort.llm.batches import over_batches, texts_of
 # Label, keywords of which any mention of the license holds one, pattern of its name, address of its text.
 NAMES = [
     ("mit", "mit|expat", r"(?:mit|expat)", r"opensource\.org/licenses/mit"),
-    ("mit-0", "mit", r"mit[- ]?(?:0|no attribution)", r"opensource\.org/licenses/mit-0"),
+    ("mit-0", "mit0|mit-0|mit 0|mitno attribution|mit-no attribution|mit no attribution", r"mit[- ]?(?:0|no attribution)", r"opensource\.org/licenses/mit-0"),
     ("apache-1.0", "apache", r"apache(?: software)?(?: license)?[,]?[- ](?:version |v)?1\.0", r"apache\.org/licenses/license-1\.0"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?[,]?[- ](?:version |v)?1\.1", r"apache\.org/licenses/license-1\.1"),
     ("apache-2.0", "apache", r"apache(?: software)?(?: license)?[,]?[- ](?:version |v)?2(?:\.0)?", r"apache\.org/licenses/license-2\.0"),
@@ -95,17 +98,19 @@ SENTENCES = [
 # The phrases of the plain count, as words, and their labels.
 PHRASES = [((b"mit", b"license"), "mit"), ((b"apache", b"license"), "apache"), ((b"general", b"public", b"license"), "gpl")]
 _WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+_IN_WORD = np.array([_WORDS.fullmatch(bytes([b])) is not None for b in range(256)])
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature; smaller ranks win. ``keywords``: one of them must occur, or the rule is not tried."""
+    """A signature; smaller ranks win. ``keywords``: one of them must occur, and all ``needs``, or the rule is not tried."""
 
     rank: int
     label: str
     keywords: tuple[str, ...]
     pattern: re.Pattern
     score: float
+    needs: tuple[str, ...]
 
 
 def _table() -> list[tuple[str, str, str, str]]:
@@ -118,6 +123,12 @@ def _table() -> list[tuple[str, str, str, str]]:
     return table
 
 
+def _version(name: str) -> tuple[str, ...]:
+    """The digits of a version that no way to write a name leaves out."""
+    digits = re.search(r"\(\?:version \|v\)\?(\d(?:\\\.\d)?)(?!\?)", name)
+    return (digits[1].replace("\\", ""),) if digits else ()
+
+
 @cache
 def rules() -> list[Rule]:
     """The ordered rules: identifier tags, addresses, sentences of the texts, notices that grant, then bare names."""
@@ -125,21 +136,21 @@ def rules() -> list[Rule]:
     edge, close = r"(?<![\w.])", r"(?![\w])"
     for label, keywords, name, address in _table():
         keys = tuple(keywords.split("|"))
-        tag = re.escape(label)
+        tag, version = re.escape(label), _version(name)
         found += [
-            (0, label, ("spdx-license-identifier",), rf"spdx-license-identifier:\s{{0,4}}{tag}(?:-only|-or-later)?{close}", 1.0),
-            (1, label, ("http",), rf"https?://(?:www\.)?{address}", 0.95),
-            (3, label, keys, rf"{edge}(?:licen[cs]ed|released|distributed|available|provided|published) (?:\w+ ){{0,2}}under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?{close}", 0.9),
-            (4, label, keys, rf"{edge}licen[cs]e\s?[:=]\s{{0,2}}[\"']?(?:the )?{name}{close}", 0.85),
-            (5, label, keys, rf"{edge}(?:the )?{name}[,]? (?:public |software )?licen[cs]e{close}", 0.8),
+            (0, label, ("spdx-license-identifier",), rf"spdx-license-identifier:\s{{0,4}}{tag}(?:-only|-or-later)?{close}", 1.0, ()),
+            (1, label, ("http",), rf"https?://(?:www\.)?{address}", 0.95, ()),
+            (3, label, keys, rf"{edge}(?:licen[cs]ed|released|distributed|available|provided|published) (?:\w+ ){{0,2}}under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?{close}", 0.9, ("under ", *version)),
+            (4, label, keys, rf"licen(?<![\w.]licen)[cs]e\s?[:=]\s{{0,2}}[\"']?(?:the )?{name}{close}", 0.85, ("licen", *version)),
+            (5, label, keys, rf"{edge}(?:the )?{name}[,]? (?:public |software )?licen[cs]e{close}", 0.8, ("licen", *version)),
         ]
         if re.search(r"\d$", label):
-            found.append((6, label, keys, rf"{edge}{name}{close}", 0.5))
-    found += [(2, label, (key,), pattern, score) for label, key, pattern, score in SENTENCES]
+            found.append((6, label, keys, rf"{edge}{name}{close}", 0.5, version))
+    found += [(2, label, (key,), pattern, score, ()) for label, key, pattern, score in SENTENCES]
     for label, words in (("mit", "mit"), ("apache", "apache"), ("gpl", "general public"), ("lgpl", "lesser general public"), ("agpl", "affero general public")):
-        found.append((7, label, (words,), rf"{edge}{words}\s+licen[cs]e{close}", 0.5))
+        found.append((7, label, (words,), rf"{edge}{words}\s+licen[cs]e{close}", 0.5, ("licen",)))
     found.sort(key=lambda r: r[0])
-    return [Rule(n, label, keys, re.compile(pattern), score) for n, (_, label, keys, pattern, score) in enumerate(found)]
+    return [Rule(n, label, keys, re.compile(pattern), score, needs) for n, (_, label, keys, pattern, score, needs) in enumerate(found)]
 
 
 @cache
@@ -155,11 +166,17 @@ def _gate() -> tuple[ahocorasick.Automaton, dict[str, list[Rule]]]:
     return automaton, by_key
 
 
+@cache
+def any_keyword() -> str:
+    """An expression that matches the lower-cased texts in which the automaton finds a keyword."""
+    return "|".join(re.escape(key) for key in _gate()[1])
+
+
 def detections(text: str) -> list[tuple[int, int, str, float]]:
     """``(start, end, label, score)`` of every signature that stands, by start; offsets in the lower-cased text."""
     low = text.lower()
     automaton, by_key = _gate()
-    chosen = {rule.rank: rule for key in {key for _, key in automaton.iter(low)} for rule in by_key[key]}
+    chosen = {rule.rank: rule for key in {key for _, key in automaton.iter(low)} for rule in by_key[key] if all(word in low for word in rule.needs)}
     kept: list[tuple[int, int, str, float]] = []
     for rank in sorted(chosen):
         rule = chosen[rank]
@@ -186,19 +203,27 @@ def _places(words: list[bytes], phrase: tuple[bytes, ...]) -> Iterator[int]:
             yield at
 
 
+def _word_counts(raw: list[bytes]) -> list[int]:
+    """The number of words of each text."""
+    inside = _IN_WORD[np.frombuffer(b" ".join([b"", *raw, b""]), dtype=np.uint8)]
+    sizes = np.array([len(r) + 1 for r in raw])
+    return np.add.reduceat(inside[1:] & ~inside[:-1], np.cumsum(sizes) - sizes, dtype=np.int64).tolist()
+
+
 def _scan(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in SCHEMA}
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            text = text or ""
-            raw = text.encode().lower()  # bytes: A to Z only
-            words = _WORDS.findall(raw)
-            places = [(at, label) for phrase, label in PHRASES for at in _places(words, phrase)] if b"license" in raw else []
-            found = detections(text)
+        texts = [text or "" for text in batch["text"]]
+        lower = [text.encode().lower() for text in texts]  # bytes: A to Z only
+        named = pc.match_substring_regex(pa.array([text.lower() for text in texts], type=pa.large_string()), any_keyword()).to_pylist()
+        for doc_id, text, raw, n_words, has_name in zip(batch["doc_id"], texts, lower, _word_counts(lower), named, strict=True):
+            words = _WORDS.findall(raw) if b"license" in raw else []
+            places = [(at, label) for phrase, label in PHRASES for at in _places(words, phrase)]
+            found = detections(text) if has_name else []
             base = {label for _, label in places}
             starts = [at for at, _ in places]
             values = (
-                doc_id, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
+                doc_id, n_words, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
                 ",".join(sorted(base | {d[2] for d in found})), max([d[3] for d in found] + [0.8] * bool(places), default=0.0),
             )
             for name, value in zip(out, values, strict=True):

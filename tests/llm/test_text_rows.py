@@ -1,5 +1,6 @@
 """Operators that look at one document at a time, and packing."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -108,6 +109,37 @@ def test_license_keywords_lose_no_hit_of_a_rule():
             assert licenses.detections(text) == _ungated(text) != [], text
 
 
+def test_license_rules_run_only_where_they_can_hit(monkeypatch):
+    """Texts without a keyword are not looked into, and rules do not run where literals of theirs are missing."""
+    rng = random.Random(8)
+    for rule in licenses.rules():
+        text = _example(re._parser.parse(rule.pattern.pattern), rng)
+        assert re.search(licenses.any_keyword(), text) and all(word in text for word in rule.needs), (rule.pattern.pattern, text)
+    looked = []
+    monkeypatch.setattr(licenses, "detections", lambda text: looked.append(text) or [])
+    texts = [None, "", "a free text", "SUBMITTED", "\u212azlib", "Apache license"]
+    rows = next(licenses._scan(iter([{"doc_id": [*range(6)], "text": texts}])))
+    assert looked == texts[3:] and rows["n_words"] == [0, 0, 3, 1, 1, 2] and rows["n_base"] == [0] * 5 + [1]
+    monkeypatch.undo()
+    ran = []
+
+    class Counted:
+        def __init__(self, rule):
+            self.rule = rule
+
+        def finditer(self, low):
+            ran.append((self.rule.label, self.rule.needs))
+            return self.rule.pattern.finditer(low)
+
+    counted = [dataclasses.replace(r, pattern=Counted(r)) for r in licenses.rules()]
+    by_key = {key: [r for r in counted if key in r.keywords] for key in licenses._gate()[1]}
+    monkeypatch.setattr(licenses, "_gate", lambda gate=licenses._gate()[0]: (gate, by_key))
+    assert licenses.detections("a mit of vim, mpl 3") == [] and ran == []
+    assert [d[2] for d in licenses.detections("a vim license")] == ["vim"] and ran == [("vim", ("licen",))] * 2
+    assert {r.needs for r in licenses.rules() if r.label in ("cc-by-4.0", "gpl-2.0", "php-3.01", "sspl-1.0")} == {
+        (), *((*form, *v) for form in [("under ",), ("licen",), ()] for v in [("4.0",), ("2",), ("3",), ()])}
+
+
 @pytest.mark.parametrize(("text", "labels"), [
     ("Released under MIT.", ["mit"]),
     ("distributed under the BSD-3-Clause", ["bsd-3-clause"]),
